@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def add_z_score(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Standard score over all rows; null for one row or no spread.
+def add_z_scores(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
+    """Standard scores over all rows, as ``{value column: new column}``.
 
-    Mean and deviation are one row, so they are broadcast; a window without
-    partition keys would move every row into one task.
+    They are null for one row or no spread.  Means and deviations are one row,
+    so they are broadcast; a window without partition keys would move every
+    row into one task.
     """
-    stats = df.agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
-    z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("_mean", "_sd")
-
-
-def full_join(left: DataFrame, right: DataFrame, on: list[str], zero: list[str]) -> DataFrame:
-    """Full outer join of two rankings; missing scores count 0."""
-    joined = left.join(right, on, "full_outer")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in zero})
+    stats = df.agg(
+        *[F.avg(v).alias(f"_mean_{v}") for v in outputs], *[F.stddev_samp(v).alias(f"_sd_{v}") for v in outputs]
+    )
+    scores = {
+        out: F.try_divide(F.col(v) - F.col(f"_mean_{v}"), F.col(f"_sd_{v}")) for v, out in outputs.items()
+    }
+    return df.crossJoin(F.broadcast(stats)).withColumns(scores).drop(*stats.columns)
 
 
 def first_known(name: str, left: str, right: str) -> Column:

@@ -50,14 +50,18 @@ def nearest_per_group(
     return top_per_group(score(df, query, vector), [group], by_similarity(id_col), n, rank="rn")
 
 
-def _best_of_batch(ids: pa.Array, vectors: pa.Array, query_ids: list, queries: np.ndarray, n: int):
-    """Rows of one batch that can still be among the first ``n`` of a query."""
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _best_of_batch(
+    ids: pa.Array, vectors: pa.Array, query_ids: pa.Array, queries: np.ndarray, n: int
+) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Query id, id and score of rows that can still be among a query's first ``n``."""
     usable, rows = matrix_of(vectors, queries.shape[1])
     kept_ids = ids.filter(pa.array(usable))
-    if len(kept_ids) == 0:
-        return
     scores = np.round(unit_rows(rows) @ queries.T, SCORE_DECIMALS)
-    for q, query_id in enumerate(query_ids):
+    for q in range(len(query_ids)):
         column = scores[:, q]
         good = ~np.isnan(column)
         if good.sum() > n:
@@ -65,7 +69,17 @@ def _best_of_batch(ids: pa.Array, vectors: pa.Array, query_ids: list, queries: n
             good &= column >= np.partition(column[good], -n)[-n]
         picked = np.flatnonzero(good)
         if len(picked):
-            yield query_id, kept_ids.take(pa.array(picked)), column[picked]
+            name = query_ids.take(pa.array([q] * len(picked)))
+            yield name, kept_ids.take(pa.array(picked)), pa.array(column[picked])
+
+
+def _by_length(ids: pa.Array, vectors: pa.Array) -> list[tuple[pa.Array, np.ndarray]]:
+    """Query ids and unit vectors, one matrix per vector length."""
+    sets = []
+    for dims in sorted({len(v) for v in vectors.to_pylist()}):
+        usable, matrix = matrix_of(vectors, dims)
+        sets.append((ids.filter(pa.array(usable)), unit_rows(matrix)))
+    return sets
 
 
 def nearest_for_queries(
@@ -88,25 +102,19 @@ def nearest_for_queries(
     query_type = queries.schema[query_id].dataType.simpleString()
     layout = f"`{query_id}` {query_type}, `{id_col}` {id_type}, cos_sim double"
     queries = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    names = [query_id, id_col, "cos_sim"]
     n_queries, floats = queries.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.size(query_vector)), F.lit(0))
     ).first()
     if floats * 8 <= query_bytes:
-        by_length: dict[int, list] = {}
-        for row in queries.collect():
-            by_length.setdefault(len(row[1]), []).append(row)
-        sets = [
-            ([r[0] for r in rows], unit_rows(np.array([r[1] for r in rows], dtype=np.float64)))
-            for rows in by_length.values()
-        ]
+        listed = queries.toArrow().combine_chunks()
+        sets = _by_length(*[_whole(listed.column(c)) for c in (query_id, query_vector)])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for names, matrix in sets:
-                    for name, ids, values in _best_of_batch(batch.column(0), batch.column(1), names, matrix, n):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(ids)), ids, pa.array(values)], [query_id, id_col, "cos_sim"]
-                        )
+                for query_ids, matrix in sets:
+                    for found in _best_of_batch(batch.column(0), batch.column(1), query_ids, matrix, n):
+                        yield pa.RecordBatch.from_arrays(list(found), names)
 
         candidates = df.select(id_col, vector).mapInArrow(scan, layout)
     else:
@@ -127,20 +135,17 @@ def _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, lay
         "_v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
     )
 
+    names = [query_id, id_col, "cos_sim"]
+
     def meet(vectors: pa.Table, block: pa.Table) -> pa.Table:
-        parts = []
-        if len(vectors) and len(block):
-            for dims in {len(v) for v in block[query_vector].to_pylist()}:
-                usable, matrix = matrix_of(block[query_vector], dims)
-                names = block[query_id].filter(pa.array(usable)).to_pylist()
-                ids = vectors[id_col].combine_chunks()
-                for name, kept, values in _best_of_batch(ids, vectors[vector], names, unit_rows(matrix), n):
-                    parts.append(
-                        pa.table([pa.array([name] * len(kept)), kept, pa.array(values)], [query_id, id_col, "cos_sim"])
-                    )
-        if parts:
-            return pa.concat_tables(parts)
-        empty = [block.schema.field(query_id).type, vectors.schema.field(id_col).type, pa.float64()]
-        return pa.table([pa.array([], t) for t in empty], [query_id, id_col, "cos_sim"])
+        ids, rows = _whole(vectors.column(id_col)), _whole(vectors.column(vector))
+        sets = _by_length(_whole(block.column(query_id)), _whole(block.column(query_vector)))
+        parts = [
+            pa.table(list(found), names)
+            for query_ids, matrix in sets
+            for found in _best_of_batch(ids, rows, query_ids, matrix, n)
+        ]
+        types = [block.schema.field(query_id).type, ids.type, pa.float64()]
+        return pa.concat_tables([pa.table([pa.array([], t) for t in types], names), *parts])
 
     return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(meet, layout)

@@ -72,7 +72,7 @@ def warehouse_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(values: list[str | None], number) -> F.Column:
+def pick(values: list[str | None], number) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
@@ -83,8 +83,8 @@ def video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.join(stamps, "conv_id").select(
         number.cast("string").alias("id"),
         url_of(number.cast("string")).alias("url"),
-        _pick(TITLES, number).alias("title"),
-        _pick(DESCRIPTIONS, number).alias("description"),
+        pick(TITLES, number).alias("title"),
+        pick(DESCRIPTIONS, number).alias("description"),
         F.col("ts").alias("publish_date"),
         (number * 37 % 1800).cast("int").alias("length"),
         "event_type",
@@ -158,7 +158,7 @@ def _sql_text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def _sql_pick(values: list[str | None], number: str) -> str:
+def sql_pick(values: list[str | None], number: str) -> str:
     arms = " ".join(f"WHEN {i} THEN {_sql_text(v)}" for i, v in enumerate(values))
     return f"CASE {number} % {len(values)} {arms} END"
 
@@ -205,7 +205,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     ),
     "vm": (
         f"""SELECT CAST(c.conv_id AS VARCHAR) AS id, concat({_WATCH}, CAST(c.conv_id AS VARCHAR)) AS url,
-  {_sql_pick(TITLES, 'c.conv_id')} AS title, {_sql_pick(DESCRIPTIONS, 'c.conv_id')} AS description,
+  {sql_pick(TITLES, 'c.conv_id')} AS title, {sql_pick(DESCRIPTIONS, 'c.conv_id')} AS description,
   ev.ts AS publish_date, CAST(c.conv_id * 37 % 1800 AS INT) AS length, ev.event_type
   FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN events ev ON ev.event_id = c.conv_id""",
         [],

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.strings import WATCH_URL, id_after_equals, size_pretty
+from ..functions.strings import WATCH_URL, id_after_equals, size_pretty, url_of
 from ..operators.joins import restrict
+from .chunk_search import Urls
 from ..sources.files import list_objects
 
 
@@ -16,9 +17,12 @@ def transcript_of(transcripts: DataFrame, video_id: str) -> DataFrame:
     return transcripts.where(F.col("url") == WATCH_URL + video_id).orderBy("segment_id")
 
 
-def transcripts_of(transcripts: DataFrame, video_ids: Sequence[str]) -> DataFrame:
-    """Whole transcripts in order, with ``video_id``."""
-    urls = [WATCH_URL + v for v in video_ids]
+def transcripts_of(transcripts: DataFrame, video_ids: Urls) -> DataFrame:
+    """Whole transcripts in order, with ``video_id``; ids are a list or a frame."""
+    if isinstance(video_ids, DataFrame):
+        urls: Urls = video_ids.select(url_of(F.col(video_ids.columns[0])).alias("url"))
+    else:
+        urls = [WATCH_URL + v for v in video_ids]
     picked = restrict(transcripts, urls, "url").withColumn("video_id", id_after_equals(F.col("url")))
     return picked.orderBy("url", "segment_id")
 
@@ -27,7 +31,7 @@ def metadata_of(metadata: DataFrame, video_id: str) -> DataFrame:
     return metadata.where(F.col("url") == WATCH_URL + video_id)
 
 
-def metadata_of_many(metadata: DataFrame, video_ids: Sequence[str]) -> DataFrame:
+def metadata_of_many(metadata: DataFrame, video_ids: Urls) -> DataFrame:
     return restrict(metadata, video_ids, "id")
 
 

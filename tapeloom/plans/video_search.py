@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import null_to_zero, rank_share, weighted_mean, weighted_sum
 from ..operators.chunks import with_spaced_text
 from ..operators.filters import Filters
-from ..operators.fusion import add_z_score, first_known
+from ..operators.fusion import add_z_scores, first_known
 from ..operators.joins import restrict
 from ..operators.nearest import by_similarity
 from ..operators.rows import top_k, top_per_group
@@ -41,8 +44,9 @@ def group_scores(chunks: DataFrame, group: str, per_group: int, id_col: str = "i
         F.count("cos_sim").alias("n_similar_chunks"),
         F.max("cos_sim").alias("max_similarity"),
     )
-    scored = add_z_score(stats, "max_similarity", "cos_sim_z_score")
-    scored = add_z_score(scored, "n_similar_chunks", "n_similar_chunks_z_score")
+    scored = add_z_scores(
+        stats, {"max_similarity": "cos_sim_z_score", "n_similar_chunks": "n_similar_chunks_z_score"}
+    )
     n = F.col("n_similar_chunks")
     return scored.withColumn("weighted_z_score", F.col("cos_sim_z_score") * n).withColumn(
         "weighted_median_similarity", F.col("median_similarity") * n
@@ -65,44 +69,80 @@ def _numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.orderBy(*order))).orderBy("position")
 
 
-def neural_search(
+def neural_ranking(
+    candidates: DataFrame, n_chunks_per_video: int = 5, min_chunks: int = 2, n_videos: int = 10
+) -> DataFrame:
+    """The best videos of a list of candidate chunks, with their scores."""
+    return best_groups(group_scores(candidates, "url", n_chunks_per_video), "url", min_chunks, n_videos)
+
+
+def _best_first(score: str) -> list[Column]:
+    return [F.round(score, 12).desc_nulls_last(), F.col("url")]
+
+
+@dataclass(frozen=True)
+class _Winners:
+    """Best videos with scores and metadata, and the chunks or segments they won by."""
+
+    videos: DataFrame
+    urls: list[str]
+    found: DataFrame
+
+
+def _neural_winners(
     tables: SearchTables,
     query: str | Sequence[float],
-    filters: Filters = NO_FILTERS,
+    filters: Filters,
     n_chunks_to_consider: int = 1500,
     n_chunks_per_video: int = 5,
     n_videos: int = 10,
-    n_chunks_to_show: int = 3,
     min_chunks: int = 2,
     screen: int | None = 5000,
-) -> DataFrame:
-    """Videos whose chunks are most similar to the query, with their best chunks.
-
-    The vectors are scanned once; the candidates and the winners are short
-    lists, and only the winners' metadata and text are read.
-    """
+) -> _Winners:
     spark = tables.embeddings.sparkSession
     candidates = local(
         spark, pin(similar_chunks_filtered(tables, query, n_chunks_to_consider, screen, filters))
     )
-    scored = group_scores(candidates, "url", n_chunks_per_video)
-    winner_rows = pin(best_groups(scored, "url", min_chunks, n_videos))
-    urls = winner_rows.column("url").to_pylist()
-    winners = local(spark, winner_rows).select(
+    rows = pin(neural_ranking(candidates, n_chunks_per_video, min_chunks, n_videos))
+    urls = rows.column("url").to_pylist()
+    scores = local(spark, rows).select(
         "url",
         F.col("n_similar_chunks").alias("n_segment_matches"),
         F.col("weighted_z_score").alias("neural_search_score"),
     )
-    videos = add_z_score(
-        restrict(tables.metadata, urls, "url").join(winners, "url"),
-        "neural_search_score",
-        "neural_search_score_z_score",
+    videos = restrict(tables.metadata, urls, "url").join(F.broadcast(scores), "url")
+    return _Winners(
+        add_z_scores(videos, {"neural_search_score": "neural_search_score_z_score"}), urls, candidates
     )
-    shown = top_per_group(restrict(candidates, urls, "url"), ["url"], by_similarity(), n_chunks_to_show, rank="_nth")
-    texts = with_spaced_text(shown, restrict(tables.transcripts, urls, "url"))
+
+
+def _with_chunks(tables: SearchTables, won: _Winners, n_chunks: int) -> DataFrame:
+    shown = top_per_group(restrict(won.found, won.urls, "url"), ["url"], by_similarity(), n_chunks, rank="_nth")
+    texts = with_spaced_text(shown, restrict(tables.transcripts, won.urls, "url"))
     lists = texts.groupBy("url").agg(ordered_list("_nth", "text").alias("top_segment_chunks"))
-    result = lists.join(videos, "url")
-    return _numbered(result, [F.round("neural_search_score", 12).desc_nulls_last(), F.col("url")])
+    return _numbered(lists.join(won.videos, "url"), _best_first("neural_search_score"))
+
+
+def neural_search(
+    tables: SearchTables,
+    query: str | Sequence[float],
+    filters: Filters = NO_FILTERS,
+    n_chunks_to_consider: int = 1500,
+    n_chunks_per_video: int = 5,
+    n_videos: int = 10,
+    n_chunks_to_show: int = 3,
+    min_chunks: int = 2,
+    screen: int | None = 5000,
+) -> DataFrame:
+    """Videos whose chunks are most similar to the query, with their best chunks.
+
+    The vectors are scanned once; the candidates and the winners are short
+    lists, and only the winners' metadata and text are read.
+    """
+    won = _neural_winners(
+        tables, query, filters, n_chunks_to_consider, n_chunks_per_video, n_videos, min_chunks, screen
+    )
+    return _with_chunks(tables, won, n_chunks_to_show)
 
 
 def keyword_group_scores(hits: DataFrame) -> DataFrame:
@@ -111,7 +151,31 @@ def keyword_group_scores(hits: DataFrame) -> DataFrame:
         F.median("rank").alias("median_rank"), F.avg("rank").alias("mean_rank"), F.count("rank").alias("n_results")
     )
     scored = stats.withColumn("keyword_search_score", F.col("median_rank"))
-    return add_z_score(scored, "keyword_search_score", "keyword_search_score_z_score")
+    return add_z_scores(scored, {"keyword_search_score": "keyword_search_score_z_score"})
+
+
+def _keyword_winners(
+    tables: SearchTables, query: str, filters: Filters, n_results_to_consider: int | None = None, n_videos: int = 5
+) -> _Winners:
+    spark = tables.transcripts.sparkSession
+    hits = segment_hits(tables, query, filters)
+    if n_results_to_consider is not None:
+        hits = local(spark, pin(top_k(hits, by_rank(), n_results_to_consider)))
+    rows = pin(top_k(keyword_group_scores(hits), _best_first("keyword_search_score"), n_videos))
+    urls = rows.column("url").to_pylist()
+    scores = local(spark, rows).select(
+        "url",
+        F.col("n_results").alias("n_segment_matches"),
+        "keyword_search_score",
+        "keyword_search_score_z_score",
+    )
+    found = pin(_numbered(restrict(tables.metadata, urls, "url").join(F.broadcast(scores), "url"), _best_first("keyword_search_score")))
+    videos = local(spark, found)
+    if found.num_rows == 1:
+        videos = videos.withColumns(
+            {"keyword_search_score": F.lit(1.0), "keyword_search_score_z_score": F.lit(0.5)}
+        )
+    return _Winners(videos, found.column("url").to_pylist(), hits)
 
 
 def keyword_search(
@@ -126,28 +190,10 @@ def keyword_search(
 
     A single result scores 1 with a standard score of 0.5.
     """
-    spark = tables.transcripts.sparkSession
-    hits = segment_hits(tables, query, filters)
-    if n_results_to_consider is not None:
-        hits = local(spark, pin(top_k(hits, by_rank(), n_results_to_consider)))
-    order = [F.round("keyword_search_score", 12).desc(), F.col("url")]
-    winner_rows = pin(top_k(keyword_group_scores(hits), order, n_videos))
-    urls = winner_rows.column("url").to_pylist()
-    winners = local(spark, winner_rows).select(
-        "url",
-        F.col("n_results").alias("n_segment_matches"),
-        "keyword_search_score",
-        "keyword_search_score_z_score",
-    )
-    video_rows = pin(winners.join(restrict(tables.metadata, urls, "url"), "url"))
-    videos = local(spark, video_rows)
-    if video_rows.num_rows == 1:
-        videos = videos.withColumn("keyword_search_score", F.lit(1.0)).withColumn(
-            "keyword_search_score_z_score", F.lit(0.5)
-        )
-    best = top_per_group(restrict(hits, urls, "url"), ["url"], by_rank(), n_segments_per_video, rank="_nth")
+    won = _keyword_winners(tables, query, filters, n_results_to_consider, n_videos)
+    best = top_per_group(restrict(won.found, won.urls, "url"), ["url"], by_rank(), n_segments_per_video, rank="_nth")
     lists = best.groupBy("url").agg(ordered_list("_nth", "text").alias("top_segment_chunks"))
-    return _numbered(videos.join(lists, "url"), order)
+    return won.videos.join(lists, "url").orderBy("position")
 
 
 def rerank_chunks_for_urls(
@@ -183,7 +229,7 @@ def rerank_chunks_for_urls(
     )
 
 
-_NEURAL_COLUMNS = ["n_segment_matches", "neural_search_score", "neural_search_score_z_score", "top_segment_chunks", "position"]
+_NEURAL_COLUMNS = ["n_segment_matches", "neural_search_score", "neural_search_score_z_score", "position"]
 
 
 def fuse_videos(
@@ -234,12 +280,23 @@ def hybrid_search(
     """
     spark = tables.transcripts.sparkSession
     side = query if vector is None else vector
-    neural_rows = pin(neural_search(tables, side, filters, n_videos=max_videos_per_method, screen=screen))
-    keyword_rows = pin(keyword_search(tables, query, filters, n_videos=max_videos_per_method))
-    neural = local(spark, neural_rows)
-    if keyword_rows.num_rows == 0:
-        return neural.orderBy("position")
-    fused_rows = pin(fuse_videos(neural, local(spark, keyword_rows), neural_weight, keyword_weight, max_results))
+
+    def by_vector() -> tuple[_Winners, pa.Table]:
+        won = _neural_winners(tables, side, filters, n_videos=max_videos_per_method, screen=screen)
+        return won, pin(_numbered(won.videos, _best_first("neural_search_score")))
+
+    def by_words() -> _Winners:
+        return _keyword_winners(tables, query, filters, n_videos=max_videos_per_method)
+
+    # The two searches do not depend on each other, so their jobs run side by side.
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(inheritable_thread_target(spark)(by_vector))
+        second = pool.submit(inheritable_thread_target(spark)(by_words))
+        (neural, neural_rows), keyword = first.result(), second.result()
+    if not keyword.urls:
+        return _with_chunks(tables, neural, 3)
+    merged = fuse_videos(local(spark, neural_rows), keyword.videos, neural_weight, keyword_weight, max_results)
+    fused_rows = pin(merged)
     urls = fused_rows.column("url").to_pylist()
     lists = rerank_chunks_for_urls(tables, query, urls, "hybrid", 3, vector=vector)
     return local(spark, fused_rows).join(lists, "url", "left").orderBy("position")

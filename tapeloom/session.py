@@ -73,5 +73,8 @@ def pin(df: DataFrame, max_rows: int = PIN_ROWS) -> pa.Table:
 
 
 def local(spark: SparkSession, rows: pa.Table) -> DataFrame:
-    """A frame of pinned rows, whose size the planner knows."""
-    return spark.createDataFrame(rows)
+    """A frame of pinned rows, whose size the planner knows.
+
+    The rows are few, so they stay in one partition and need no shuffles.
+    """
+    return spark.createDataFrame(rows).coalesce(1)
