@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
 from .strings import strip
 
 # English words that the text index leaves out.
@@ -34,7 +35,12 @@ PREVIEW_CHARS = 50
 
 def words(text: Column) -> Column:
     """Lowercase words in order; a word's index is its position in the text."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    return split_lower(F.lower(text))
+
+
+def split_lower(low: Column) -> Column:
+    """`words` of a text that is lowercase already."""
+    return F.filter(F.split(low, WORD_BREAK), lambda w: w != "")
 
 
 def split_words(text: str) -> list[str]:
@@ -74,13 +80,7 @@ def or_query(text: Column, max_n: int = 3) -> Column:
         joined = F.transform(starts, lambda i: F.array_join(F.slice(kept, i, n), " <-> "))
         return F.when(F.size(kept) >= n, joined).otherwise(empty)
 
-    # The one-element array binds the kept words to a name, so the filter above
-    # is evaluated once and not once per run length.
-    bound = F.transform(
-        F.array(typed),
-        lambda kept: F.array_join(F.concat(*[runs(kept, n) for n in range(1, max_n + 1)]), " | "),
-    )
-    return F.element_at(bound, 1)
+    return let(typed, lambda kept: F.array_join(F.concat(*[runs(kept, n) for n in range(1, max_n + 1)]), " | "))
 
 
 def token_estimate(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
 from .strings import strip
 
 # Phrases looked for in the lowercase title, first match wins.
@@ -43,10 +44,16 @@ def review_score(description: Column) -> Column:
     The character before the digits belongs to the number: white space and a
     plus sign are harmless, a minus sign negates, anything else spoils it.
     """
-    last = F.try_element_at(F.regexp_extract_all(description, F.lit(SCORE_PATTERN), F.lit(0)), F.lit(-1))
-    lead = F.substring(last, 1, 1)
-    digits = F.regexp_extract(last, "([0-9]+)/10$", 1).try_cast("int")
-    return F.when(lead == "-", -digits).when((lead == "+") | lead.rlike(r"^(?U)\s$"), digits)
+    found = F.regexp_extract_all(description, F.lit(SCORE_PATTERN), F.lit(0))
+
+    def number(last: Column) -> Column:
+        lead = F.substring(last, 1, 1)
+        digits = F.regexp_extract(last, "([0-9]+)/10$", 1).try_cast("int")
+        return F.when(lead == "-", -digits).when((lead == "+") | lead.rlike(r"^(?U)\s$"), digits)
+
+    # Most descriptions have no score, and a substring test is cheaper than the pattern.
+    scored = F.when(description.contains("/10"), F.try_element_at(found, F.lit(-1)))
+    return let(scored, number)
 
 
 def album_info(title: Column) -> Column:

@@ -65,27 +65,6 @@ def inner_product(vector: Column, query: Sequence[float]) -> Column:
     return _score(vector, query, unit=False)
 
 
-def cosine_between(a: Column, b: Column) -> Column:
-    """Cosine similarity of two vector columns of the same row."""
-
-    @F.arrow_udf(T.DoubleType())
-    def score(left: pa.Array, right: pa.Array) -> pa.Array:
-        sizes = pc.list_value_length(left)
-        same = pc.fill_null(pc.equal(sizes, pc.list_value_length(right)), False)
-        out = np.full(len(left), np.nan)
-        for dims in pc.unique(pc.filter(sizes, same)).to_pylist():
-            rows = pc.and_(same, pc.equal(sizes, dims))
-            rows = pc.fill_null(rows, False)
-            _, x = matrix_of(left.filter(rows), dims)
-            _, y = matrix_of(right.filter(rows), dims)
-            out[rows.to_numpy(zero_copy_only=False)] = np.round(
-                (unit_rows(x) * unit_rows(y)).sum(axis=1), SCORE_DECIMALS
-            )
-        return pa.array(out, mask=np.isnan(out))
-
-    return score(a, b)
-
-
 def unit_vector(vector: Column) -> Column:
     """The vector scaled to length one; null when it has no direction."""
     floats = T.ArrayType(T.FloatType())

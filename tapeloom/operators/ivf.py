@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.vectors import matrix_of, unit_rows, unit_vector
-from .nearest import by_similarity, score
+from .nearest import by_similarity, score, scored
 from .rows import top_k
 
 # Centroids are trained on this many rows per cell, and at least this many in
@@ -41,15 +41,24 @@ class IvfIndex:
         return spark.read.parquet(f"{self.path}/centroids")
 
 
+def _dimensions(df: DataFrame, vector: str) -> int:
+    """Length of the table's vectors: the one of any non-empty vector."""
+    row = df.where(F.size(vector) > 0).select(F.size(vector)).first()
+    if row is None:
+        raise ValueError("there are no vectors to index")
+    return row[0]
+
+
 def train_centroids(
     df: DataFrame, cells: int, vector: str = "embedding", seed: int = 7, iterations: int = 10
 ) -> np.ndarray:
     """Cluster centers of a uniform sample, by direction."""
-    rows = df.select(unit_vector(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(vector).where(F.size(vector) == _dimensions(df, vector))
     total = df.count()
     wanted = max(TRAIN_MIN, TRAIN_PER_CELL * cells)
     if total > wanted:
         rows = rows.sample(fraction=min(1.0, 1.2 * wanted / total), seed=seed)
+    rows = rows.select(unit_vector(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
     features = rows.select(array_to_vector("v").alias("features")).persist()
     try:
         means = KMeans(k=cells, maxIter=iterations, seed=seed, distanceMeasure="cosine", initSteps=1)
@@ -123,4 +132,4 @@ def search(
     """
     chosen = cells_to_probe(index.centroids(spark), query, probes)
     scan = index.vectors(spark).where(F.col("cell").isin(*chosen)).drop("cell")
-    return top_k(score(scan, query, vector, index.metric), by_similarity(id_col), n)
+    return scored(top_k(score(scan, query, vector, index.metric), by_similarity(id_col), n))

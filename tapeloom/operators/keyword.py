@@ -15,7 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import INDEX_STOP_WORDS, phrase_words, query_words, words
+from ..functions.let import let
+from ..functions.text import INDEX_STOP_WORDS, phrase_words, query_words, split_lower, words
 
 # Fixed value: the weight of one cover.
 COVER_WEIGHT = 0.1
@@ -29,14 +30,8 @@ def _all(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it by name in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def may_contain(text: Column, terms: Sequence[str], every: bool) -> Column:
+def _may_contain(low: Column, terms: Sequence[str], every: bool) -> Column:
     """Cheap substring test that every real match passes; saves splitting the rest."""
-    low = F.lower(text)
     tests = [low.contains(t) for t in sorted(set(terms))]
     return _all(tests) if every else _any(tests)
 
@@ -60,11 +55,15 @@ def word_rank(text: Column, query: str) -> Column:
 
         return test
 
-    if joined:
-        hits = _bind(words(text), lambda found: F.size(F.filter(found, ends_here(found))))
-    else:
-        hits = F.size(F.filter(words(text), lambda w: w.isin(*single)))
-    return F.when(may_contain(text, [p[0] for p in parts], every=False), hits * F.lit(COVER_WEIGHT)).otherwise(0.0)
+    def rank(low: Column) -> Column:
+        if joined:
+            hits = let(split_lower(low), lambda found: F.size(F.filter(found, ends_here(found))))
+        else:
+            hits = F.size(F.filter(split_lower(low), lambda w: w.isin(*single)))
+        likely = _may_contain(low, [p[0] for p in parts], every=False)
+        return F.when(likely, hits * F.lit(COVER_WEIGHT)).otherwise(0.0)
+
+    return let(F.lower(text), rank)
 
 
 def phrase_rank(text: Column, query: str) -> Column:
@@ -90,8 +89,10 @@ def phrase_rank(text: Column, query: str) -> Column:
         total = F.aggregate(covers, F.lit(0.0), lambda a, b: a + b)
         return F.when(F.size(found) > last, total).otherwise(0.0)
 
-    ranked = _bind(words(text), score)
-    return F.when(may_contain(text, lexemes, every=True), ranked).otherwise(0.0)
+    def rank(low: Column) -> Column:
+        return F.when(_may_contain(low, lexemes, every=True), let(split_lower(low), score)).otherwise(0.0)
+
+    return let(F.lower(text), rank)
 
 
 # ---------------------------------------------------------------- postings

@@ -19,16 +19,23 @@ GRID_VECTORS = 20_000
 
 
 def score(df: DataFrame, query: Sequence[float], vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """``df`` without its vectors but with ``cos_sim``; rows without a score are dropped.
+    """``df`` without its vectors but with ``cos_sim``, null where there is no score.
 
-    The vectors leave the plan here, before any shuffle.
+    The vectors leave the plan here, before any shuffle.  Drop null scores with
+    `scored` after ranking: a filter right here would be pushed below the
+    scoring and score every vector twice.
     """
     fn = {"cosine": cosine, "inner_product": inner_product}[metric]
-    return df.withColumn("cos_sim", fn(F.col(vector), query)).drop(vector).where(F.col("cos_sim").isNotNull())
+    return df.withColumn("cos_sim", fn(F.col(vector), query)).drop(vector)
+
+
+def scored(ranked: DataFrame) -> DataFrame:
+    """The rows of a ranking that have a score; the others rank last."""
+    return ranked.where(F.col("cos_sim").isNotNull())
 
 
 def by_similarity(id_col: str = "id") -> list:
-    return [F.col("cos_sim").desc(), F.col(id_col)]
+    return [F.col("cos_sim").desc_nulls_last(), F.col(id_col)]
 
 
 def nearest(
@@ -40,14 +47,14 @@ def nearest(
     metric: str = "cosine",
 ) -> DataFrame:
     """The ``n`` most similar rows, best first."""
-    return top_k(score(df, query, vector, metric), by_similarity(id_col), n)
+    return scored(top_k(score(df, query, vector, metric), by_similarity(id_col), n))
 
 
 def nearest_per_group(
     df: DataFrame, query: Sequence[float], group: str, n: int, vector: str = "embedding", id_col: str = "id"
 ) -> DataFrame:
     """The ``n`` most similar rows of each group, numbered in ``rn``."""
-    return top_per_group(score(df, query, vector), [group], by_similarity(id_col), n, rank="rn")
+    return scored(top_per_group(score(df, query, vector), [group], by_similarity(id_col), n, rank="rn"))
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:

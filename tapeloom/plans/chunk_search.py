@@ -58,11 +58,12 @@ def similar_chunks_for_urls(
 ) -> DataFrame:
     """The most similar chunks of each url, with their text, numbered in ``rn``."""
     base = restrict(tables.embeddings, urls, "url").select(*_CHUNK, "segment_length", "embedding")
-    scored = nearest.score(base, tables.vector_of(query))
+    found = nearest.score(base, tables.vector_of(query))
     text = restrict(tables.chunk_text, urls, "url").select("url", "id", "segment_start", "segment_end", "text")
-    return top_per_group(
-        scored.join(text, ["url", "id"]), ["url"], nearest.by_similarity(), n_per_url, rank="rn"
+    ranked = top_per_group(
+        found.join(text, ["url", "id"]), ["url"], nearest.by_similarity(), n_per_url, rank="rn"
     )
+    return nearest.scored(ranked)
 
 
 def similar_chunks_filtered(
@@ -95,7 +96,7 @@ def similar_chunks_filtered(
         if filters.active():
             # The screened side is bounded by ``screen``; the metadata is not.
             found = allowed.join(F.broadcast(found), "url").select(*_CHUNK, "cos_sim")
-    found = top_k(found, nearest.by_similarity(), n)
+    found = nearest.scored(top_k(found, nearest.by_similarity(), n))
     return _with_text(tables, found) if include_text else found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.strings import file_name, file_stem, url_of
 from ..schemas import SEGMENT, VIDEO_DETAILS
 
-_FLOATS = T.ArrayType(T.FloatType())
-
 
 def list_objects(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
     """Name, stem, path, size and time of every file; contents are not read."""
@@ -26,21 +25,13 @@ def list_objects(spark: SparkSession, folder: str, pattern: str | None = None) -
     )
 
 
-def decode_npy(content: Column) -> Column:
-    """Numbers of a ``.npy`` file; null for a file that is empty or unreadable."""
-
-    @F.arrow_udf(_FLOATS)
-    def run(contents: pa.Array) -> pa.Array:
-        out: list = []
-        for item in contents:
-            try:
-                data = np.load(io.BytesIO(item.as_py()), allow_pickle=False)
-                out.append(None if data.shape == () else data.astype(np.float32).ravel())
-            except Exception:  # a broken file must not end the job
-                out.append(None)
-        return pa.array(out, type=pa.list_(pa.float32()))
-
-    return run(content)
+def _numbers(content: bytes) -> np.ndarray | None:
+    """The vector in the bytes of a ``.npy`` file; None when empty or unreadable."""
+    try:
+        data = np.load(io.BytesIO(content), allow_pickle=False)
+    except Exception:  # a broken file must not end the job
+        return None
+    return None if data.shape == () else data.astype(np.float32).ravel()
 
 
 def encode_npy(vector: Column) -> Column:
@@ -60,8 +51,16 @@ def encode_npy(vector: Column) -> Column:
 
 def decode_vector_files(files: DataFrame) -> DataFrame:
     """``id, embedding`` of rows with ``path`` and ``content``; bad files are left out."""
-    decoded = files.select(file_stem(F.col("path")).alias("id"), decode_npy(F.col("content")).alias("embedding"))
-    return decoded.where(F.col("embedding").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [_numbers(c) for c in batch.column(1).to_pylist()]
+            good = [i for i, v in enumerate(vectors) if v is not None]
+            found = pa.array([vectors[i] for i in good], type=pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), found], ["id", "embedding"])
+
+    named = files.select(file_stem(F.col("path")).alias("id"), "content")
+    return named.mapInArrow(run, "id string, embedding array<float>")
 
 
 def read_vector_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +74,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     ``video_id, document, value, created_at``, where ``document`` is the file's
     name.  Every file is one row.
     """
-    files = spark.read.option("wholetext", "true").text(f"{folder}/*/*.json")
+    files = spark.read.text(f"{folder}/*/*.json", wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(
         F.element_at(F.split(path, "/"), -2).alias("video_id"),
