@@ -115,6 +115,15 @@ def stored_postings_phrase(spark, sf_dir):
     return _hits(keyword.phrase_hits(spark.read.parquet(path), GAP_PHRASE, ["doc_id"], 8), "doc_id")
 
 
+def stemmed_documents(spark, sf_dir):
+    """Documents with a word that shares its stem with a word of the query."""
+    known = keyword.vocabulary(_postings(spark, sf_dir))
+    variants = keyword.stem_variants(known, WORDS)
+    docs = table(spark, sf_dir, "documents")
+    ranked = docs.select("doc_id", keyword.word_rank(F.col("text"), WORDS, variants).alias("rank"))
+    return _hits(ranked.where(F.col("rank") > 0), "doc_id")
+
+
 def keyword_group_rank(spark, sf_dir):
     hits = chunk_search.segment_hits(corpus.search_tables(spark, sf_dir), WORDS)
     scored = video_search.keyword_group_scores(hits)
@@ -185,6 +194,7 @@ CHECKS = {
         f"SELECT doc_id, round({COUNT} * 0.1, 6)::DOUBLE AS rank FROM documents WHERE {COUNT} > 0",
     ),
     "stored_postings_phrase": (stored_postings_phrase, GAP_DOCUMENTS),
+    "stemmed_documents": (stemmed_documents, None),
     "keyword_group_rank": (keyword_group_rank, GROUP_RANK),
     "tsquery_strings": (tsquery_strings, TSQUERY),
     "phrase_chunks_per_group": (phrase_chunks_per_group, with_ctes(PHRASE_CHUNKS, "tr", "ct", "vm")),

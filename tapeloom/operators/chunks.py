@@ -53,6 +53,32 @@ def chunk_segments(
     )
 
 
+# With at most this many chunk lengths, segments find their chunks by arithmetic.
+GRID_LENGTHS = 8
+
+
+def _grid_lengths(chunks: DataFrame) -> list[int] | None:
+    """The lengths of the chunks if every start is a multiple of its length."""
+    length = F.col("end_segment") - F.col("start_segment")
+    on_grid = (length > 0) & (F.col("start_segment") % F.nullif(length, F.lit(0)) == 0)
+    kinds = chunks.select(length.alias("n"), on_grid.alias("fits")).distinct().limit(GRID_LENGTHS + 1).collect()
+    if len(kinds) > GRID_LENGTHS or not all(k["fits"] for k in kinds):
+        return None
+    return [k["n"] for k in kinds]
+
+
+def _on_grid(chunks: DataFrame, segments: DataFrame, lengths: list[int]) -> DataFrame:
+    """Left join of chunks to their segments on url, length and start.
+
+    The group-by that follows has these among its keys, so the segments are
+    shuffled once; joining on single segment ids would shuffle them twice.
+    """
+    sized = segments.withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
+    start = (F.floor(F.col("segment_id") / F.col("_length")) * F.col("_length")).cast("int")
+    keyed = chunks.withColumn("_length", F.col("end_segment") - F.col("start_segment"))
+    return keyed.join(sized.withColumn("start_segment", start), ["url", "_length", "start_segment"], "left")
+
+
 def chunk_to_text(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per chunk with the joined text and time bounds of its segments.
 
@@ -60,13 +86,19 @@ def chunk_to_text(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     row, with an empty text and null bounds.
     """
     keys = ["id", "url", "start_segment", "end_segment"]
+    chunks = chunks.select(*keys)
     parts = segments.select("url", "segment_id", "text", "segment_start", "segment_end")
-    joined = interval_join(chunks.select(*keys), parts, "url", "segment_id", how="left")
-    return joined.groupBy(*keys).agg(
+    lengths = _grid_lengths(chunks)
+    if lengths:
+        joined, groups = _on_grid(chunks, parts, lengths), [*keys, "_length"]
+    else:
+        joined, groups = interval_join(chunks, parts, "url", "segment_id", how="left"), keys
+    texts = joined.groupBy(*groups).agg(
         join_in_order("segment_id", "text", "").alias("text"),
         F.min("segment_start").alias("segment_start"),
         F.max("segment_end").alias("segment_end"),
     )
+    return texts.select(*keys, "text", "segment_start", "segment_end")
 
 
 def with_spaced_text(chunks: DataFrame, segments: DataFrame) -> DataFrame:

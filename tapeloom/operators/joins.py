@@ -53,7 +53,18 @@ def absent_null_aware(df: DataFrame, known: DataFrame, on: str, known_on: str |
 LITERAL_KEYS = 1000
 
 
-def restrict(df: DataFrame, keys: Sequence[str] | DataFrame, on: str) -> DataFrame:
+Keys = Sequence[str] | DataFrame
+
+
+def short_list(keys: Keys) -> Keys:
+    """A list when there are few keys; otherwise the keys as they are."""
+    if not isinstance(keys, DataFrame):
+        return keys
+    found = keys_of(keys, keys.columns[0]).limit(LITERAL_KEYS + 1).collect()
+    return keys if len(found) > LITERAL_KEYS else [row[0] for row in found]
+
+
+def restrict(df: DataFrame, keys: Keys, on: str) -> DataFrame:
     """Rows whose key is in a supplied list or one-column frame."""
     if isinstance(keys, DataFrame):
         return present(df, keys, on, keys.columns[0])

@@ -10,13 +10,14 @@ of alternatives scores 0.1 per matching position, and a phrase scores
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.let import let
-from ..functions.text import INDEX_STOP_WORDS, phrase_words, query_words, split_lower, words
+from ..functions.stem import english_stem, stem
+from ..functions.text import INDEX_STOP_WORDS, WORD_BREAK, phrase_words, query_words, split_lower, words
 
 # Fixed value: the weight of one cover.
 COVER_WEIGHT = 0.1
@@ -30,18 +31,27 @@ def _all(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def _may_contain(low: Column, terms: Sequence[str], every: bool) -> Column:
+# Words of the texts that count as a word of the query, such as those with its stem.
+Variants = Mapping[str, Sequence[str]]
+
+
+def forms(word: str, variants: Variants | None) -> list[str]:
+    """The spellings under which a word of the query may be found."""
+    return sorted({word, *(variants or {}).get(word, ())})
+
+
+def _may_contain(low: Column, words_: Sequence[str], every: bool, variants: Variants | None) -> Column:
     """Cheap substring test that every real match passes; saves splitting the rest."""
-    tests = [low.contains(t) for t in sorted(set(terms))]
+    tests = [_any([low.contains(t) for t in forms(w, variants)]) for w in sorted(set(words_))]
     return _all(tests) if every else _any(tests)
 
 
-def word_rank(text: Column, query: str) -> Column:
+def word_rank(text: Column, query: str, variants: Variants | None = None) -> Column:
     """Rank of a text for any of the query's words; 0 without a match."""
     parts = query_words(query)
     if not parts:
         return F.lit(0.0)
-    single = sorted({p[0] for p in parts if len(p) == 1})
+    single = sorted({t for p in parts if len(p) == 1 for t in forms(p[0], variants)})
     joined = [p for p in parts if len(p) > 1]
 
     def ends_here(found: Column):
@@ -49,7 +59,7 @@ def word_rank(text: Column, query: str) -> Column:
             hit = word.isin(*single) if single else F.lit(False)
             for part in joined:
                 back = len(part) - 1
-                tail = [F.get(found, i - back + n) == F.lit(p) for n, p in enumerate(part)]
+                tail = [F.get(found, i - back + n).isin(*forms(p, variants)) for n, p in enumerate(part)]
                 hit = hit | F.coalesce((i >= back) & _all(tail), F.lit(False))
             return hit
 
@@ -59,26 +69,27 @@ def word_rank(text: Column, query: str) -> Column:
         if joined:
             hits = let(split_lower(low), lambda found: F.size(F.filter(found, ends_here(found))))
         else:
-            hits = F.size(F.filter(split_lower(low), lambda w: w.isin(*single)))
-        likely = _may_contain(low, [p[0] for p in parts], every=False)
+            hits = F.size(F.filter(F.split(low, WORD_BREAK), lambda w: w.isin(*single)))
+        likely = _may_contain(low, [p[0] for p in parts], False, variants)
         return F.when(likely, hits * F.lit(COVER_WEIGHT)).otherwise(0.0)
 
     return let(F.lower(text), rank)
 
 
-def phrase_rank(text: Column, query: str) -> Column:
+def phrase_rank(text: Column, query: str, variants: Variants | None = None) -> Column:
     """Rank of a text for the query as a phrase; 0 without a match."""
     phrase = phrase_words(query)
     if not phrase:
         return F.lit(0.0)
     last = phrase[-1][0]
-    lexemes = sorted({w for _, w in phrase})
+    own = sorted({w for _, w in phrase})
+    lexemes = sorted({t for w in own for t in forms(w, variants)})
     placed = dict(phrase)
     gaps = [o for o in range(last) if o not in placed]
 
     def score(found: Column) -> Column:
         def at(start: Column) -> Column:
-            here = _all([F.get(found, start + o) == F.lit(w) for o, w in phrase])
+            here = _all([F.get(found, start + o).isin(*forms(w, variants)) for o, w in phrase])
             foreign = sum(
                 ((~F.get(found, start + g).isin(*lexemes)).cast("int") for g in gaps), F.lit(0)
             )
@@ -90,7 +101,7 @@ def phrase_rank(text: Column, query: str) -> Column:
         return F.when(F.size(found) > last, total).otherwise(0.0)
 
     def rank(low: Column) -> Column:
-        return F.when(_may_contain(low, lexemes, every=True), let(split_lower(low), score)).otherwise(0.0)
+        return F.when(_may_contain(low, own, True, variants), let(split_lower(low), score)).otherwise(0.0)
 
     return let(F.lower(text), rank)
 
@@ -107,11 +118,37 @@ def postings(segments: DataFrame, keys: Sequence[str] = ("url", "segment_id"), t
     return listed.where(~F.col("term").isin(*INDEX_STOP_WORDS)).select("term", *keys, "pos")
 
 
+def vocabulary(found: DataFrame) -> DataFrame:
+    """Distinct words of a postings table with their English stems."""
+    return found.select("term").distinct().withColumn("stem", stem(F.col("term")))
+
+
+# A query word may stand for this many words of the texts.
+MAX_VARIANTS = 1000
+
+
+def stem_variants(known: DataFrame, query: str) -> dict[str, list[str]]:
+    """For each word of the query, the known words with the same stem.
+
+    ``known`` is a vocabulary.  The texts keep their words as they are; the
+    query is widened instead, so stems cost nothing while texts are read.
+    """
+    asked = sorted({w for p in query_words(query) for w in p} | {w for _, w in phrase_words(query)})
+    stems = {w: english_stem(w) for w in asked}
+    if not asked:
+        return {}
+    rows = known.where(F.col("stem").isin(*set(stems.values()))).limit(MAX_VARIANTS * len(asked) + 1).collect()
+    if len(rows) > MAX_VARIANTS * len(asked):
+        raise ValueError("too many words share the stems of the query")
+    return {w: sorted(r["term"] for r in rows if r["stem"] == s) for w, s in stems.items()}
+
+
 def write_postings(found: DataFrame, path: str, buckets: int = 64) -> None:
     """Store postings so that a lookup reads few files.
 
     Terms are hashed to folders and sorted inside files.  ``rebalance`` lets
-    adaptive execution split the folder of a very common word.
+    adaptive execution split the folder of a very common word.  Choose as many
+    buckets as keep a folder at a few GB.
     """
     bucketed = found.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     (
@@ -137,11 +174,15 @@ def lookup(found: DataFrame, terms: Sequence[str], buckets: int | None = None) -
 
 
 def word_hits(
-    found: DataFrame, query: str, keys: Sequence[str] = ("url", "segment_id"), buckets: int | None = None
+    found: DataFrame,
+    query: str,
+    keys: Sequence[str] = ("url", "segment_id"),
+    buckets: int | None = None,
+    variants: Variants | None = None,
 ) -> DataFrame:
     """Keys and ``rank`` of everything that holds a word of the query."""
     parts = query_words(query)
-    picked = lookup(found, [w for p in parts for w in p], buckets)
+    picked = lookup(found, [t for p in parts for w in p for t in forms(w, variants)], buckets)
     single = [p for p in parts if len(p) == 1]
     if len(single) == len(parts):
         return picked.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(COVER_WEIGHT)).alias("rank"))
@@ -149,7 +190,7 @@ def word_hits(
     # position counts once all parts of one word voted for it.
     votes = [
         F.when(
-            F.col("term") == w,
+            F.col("term").isin(*forms(w, variants)),
             F.struct((F.col("pos") + (len(part) - 1 - n)).alias("end"), F.lit(i).alias("part"), F.lit(n).alias("nth")),
         )
         for i, part in enumerate(parts)
@@ -170,11 +211,15 @@ def word_hits(
 
 
 def phrase_hits(
-    found: DataFrame, query: str, keys: Sequence[str] = ("url", "segment_id"), buckets: int | None = None
+    found: DataFrame,
+    query: str,
+    keys: Sequence[str] = ("url", "segment_id"),
+    buckets: int | None = None,
+    variants: Variants | None = None,
 ) -> DataFrame:
     """Keys and ``rank`` of everything that holds the query as a phrase."""
     phrase = phrase_words(query)
-    picked = lookup(found, [w for _, w in phrase], buckets)
+    picked = lookup(found, [t for _, w in phrase for t in forms(w, variants)], buckets)
     placed = dict(phrase)
     last = phrase[-1][0] if phrase else 0
     # Every occurrence votes for the starts it could belong to: as the word at
@@ -184,7 +229,7 @@ def phrase_hits(
         start = (F.col("pos") - offset).alias("start")
         if offset in placed:
             vote = F.struct(start, F.lit(1).alias("hit"), F.lit(0).alias("own"))
-            votes.append(F.when(F.col("term") == placed[offset], vote))
+            votes.append(F.when(F.col("term").isin(*forms(placed[offset], variants)), vote))
         else:
             votes.append(F.struct(start, F.lit(0).alias("hit"), F.lit(1).alias("own")))
     gaps = last + 1 - len(placed)

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.embed import Embedder, HashedWords, embed_one
 from ..functions.scores import FUSION_K, reciprocal_rank, weighted_sum
@@ -14,12 +14,12 @@ from ..operators import ivf, keyword, nearest
 from ..operators.chunks import with_spaced_text
 from ..operators.filters import Filters
 from ..operators.fusion import first_known
-from ..operators.joins import flag_null, interval_join, present, restrict
+from ..operators.joins import Keys, flag_null, interval_join, present, restrict, short_list
 from ..operators.rows import keep_first, top_k, top_per_group
 from ..session import local, pin
 
 NO_FILTERS = Filters()
-Urls = Sequence[str] | DataFrame
+Urls = Keys
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class SearchTables:
     ``transcripts(url, text, segment_id, segment_seek, segment_start, segment_end)``,
     ``metadata(url, publish_date, video_type, review_score, ...)`` with unique urls,
     ``chunk_text(id, url, start_segment, end_segment, text, segment_start, segment_end)``.
+    With a ``vocabulary(term, stem)`` words match by their English stem, otherwise as they are.
     """
 
     embeddings: DataFrame
@@ -39,6 +40,18 @@ class SearchTables:
     embedder: Embedder = HashedWords()
     index: ivf.IvfIndex | None = None
     probes: int = 50
+    vocabulary: DataFrame | None = None
+
+    def word_rank(self, query: str) -> Column:
+        """Rank of a segment's text for any word of the query."""
+        return keyword.word_rank(F.col("text"), query, self._variants(query))
+
+    def phrase_rank(self, query: str) -> Column:
+        """Rank of a segment's text for the query as a phrase."""
+        return keyword.phrase_rank(F.col("text"), query, self._variants(query))
+
+    def _variants(self, query: str) -> keyword.Variants | None:
+        return None if self.vocabulary is None else keyword.stem_variants(self.vocabulary, query)
 
     def vector_of(self, query: str | Sequence[float]) -> Sequence[float]:
         """A query is a text, or the vector of one."""
@@ -57,8 +70,13 @@ def similar_chunks_for_urls(
     tables: SearchTables, query: str | Sequence[float], urls: Urls, n_per_url: int = 5
 ) -> DataFrame:
     """The most similar chunks of each url, with their text, numbered in ``rn``."""
-    base = restrict(tables.embeddings, urls, "url").select(*_CHUNK, "segment_length", "embedding")
-    found = nearest.score(base, tables.vector_of(query))
+    urls = short_list(urls)
+    base = tables.embeddings.select(*_CHUNK, "segment_length", "embedding")
+    if isinstance(urls, DataFrame):
+        # Many urls: score first, so that no vector takes part in the join.
+        found = restrict(nearest.score(base, tables.vector_of(query)), urls, "url")
+    else:
+        found = nearest.score(restrict(base, urls, "url"), tables.vector_of(query))
     text = restrict(tables.chunk_text, urls, "url").select("url", "id", "segment_start", "segment_end", "text")
     ranked = top_per_group(
         found.join(text, ["url", "id"]), ["url"], nearest.by_similarity(), n_per_url, rank="rn"
@@ -114,7 +132,7 @@ _SEGMENT = ["url", "segment_id", "segment_seek", "segment_start", "segment_end"]
 
 def segment_hits(tables: SearchTables, query: str, filters: Filters = NO_FILTERS) -> DataFrame:
     """Every segment with a word of the query, with its text and ``rank``."""
-    ranked = tables.transcripts.select(*_SEGMENT, "text", keyword.word_rank(F.col("text"), query).alias("rank"))
+    ranked = tables.transcripts.select(*_SEGMENT, "text", tables.word_rank(query).alias("rank"))
     hits = ranked.where(F.col("rank") > 0)
     if filters.active():
         hits = present(hits, filters.apply(tables.metadata).select("url"), "url")
@@ -152,7 +170,7 @@ def keyword_segments(
 
 def phrase_segments(tables: SearchTables, query: str, n: int = 10) -> DataFrame:
     """Segments that hold the query as a phrase, best first."""
-    ranked = tables.transcripts.select(*_SEGMENT, keyword.phrase_rank(F.col("text"), query).alias("rank"))
+    ranked = tables.transcripts.select(*_SEGMENT, tables.phrase_rank(query).alias("rank"))
     best = top_k(ranked.where(F.col("rank") > 0), by_rank(), n)
     return best.withColumnRenamed("segment_id", "id")
 
@@ -164,8 +182,9 @@ def phrase_chunks_for_urls(
 
     A chunk appears once per matching segment, or once with its best segment.
     """
+    urls = short_list(urls)
     ranked = restrict(tables.transcripts, urls, "url").select(
-        "url", "segment_id", "segment_seek", keyword.phrase_rank(F.col("text"), query).alias("rank")
+        "url", "segment_id", "segment_seek", tables.phrase_rank(query).alias("rank")
     )
     chunks = restrict(tables.chunk_text, urls, "url")
     found = interval_join(chunks, ranked.where(F.col("rank") > 0), "url", "segment_id")
@@ -193,6 +212,7 @@ def hybrid_chunks_for_urls(
     ``rn`` is the dense rank of the fused score inside the url.
     """
     deep = math.ceil(n_per_url * 2)
+    urls = short_list(urls)
     by_vector = similar_chunks_for_urls(tables, query if vector is None else vector, urls, deep).alias("n")
     by_phrase = phrase_chunks_for_urls(tables, query, urls, deep, best_per_chunk=True).alias("p")
     same = (F.col("n.url") == F.col("p.url")) & (F.col("n.id") == F.col("p.id"))

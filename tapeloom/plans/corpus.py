@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.strings import url_of
 from ..operators.chunks import chunk_to_text
 from .chunk_search import SearchTables
-from .jobs import enrich
+from .jobs import enrich, enrichments
 
 # Titles given to the videos, by id modulo their number.
 TITLES = [
@@ -93,9 +93,7 @@ def video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def served_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata with type and score, as the searches use it."""
-    videos = video_metadata(spark, sf_dir)
-    added = enrich(videos).drop("url")
-    return videos.drop("event_type").join(added, "id")
+    return video_metadata(spark, sf_dir).drop("event_type").withColumns(enrichments())
 
 
 def _marked(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:

@@ -9,7 +9,7 @@ import traceback
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import times, titles
 from ..functions.embed import Embedder, embed
@@ -18,6 +18,7 @@ from ..operators.chunks import chunk_segments
 from ..operators.joins import absent, absent_null_aware, for_first_keys, first_keys, present
 from ..operators.rows import before_known, keep_first, union_first_wins
 from ..schemas import TRANSCRIPTIONS, VIDEO_METADATA, conform
+from ..session import to_scratch
 from ..sources.documents import flatten_details, segments_from_results
 
 MAX_TRANSCRIBED_MINUTES = 20
@@ -64,13 +65,16 @@ def metadata_rows(raw: DataFrame, clock: datetime | None = None) -> tuple[DataFr
     return conform(flatten_details(raw, clock), VIDEO_METADATA)
 
 
+def enrichments() -> dict[str, Column]:
+    """The columns that enrichment adds to metadata."""
+    return {
+        "video_type": titles.video_type(F.col("title")),
+        "review_score": titles.review_score(F.col("description")),
+    }
+
+
 def enrich(metadata: DataFrame) -> DataFrame:
-    return metadata.select(
-        "id",
-        "url",
-        titles.video_type(F.col("title")).alias("video_type"),
-        titles.review_score(F.col("description")).alias("review_score"),
-    )
+    return metadata.select("id", "url", *[c.alias(n) for n, c in enrichments().items()])
 
 
 def enrich_new(metadata: DataFrame, enriched: DataFrame, limit: int | None = None) -> DataFrame:
@@ -173,8 +177,12 @@ def embeddings_delta(
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Chunk rows with their vector, one per id; rows without a vector are left out."""
-    once = keep_first(chunks, ["id"], [F.col(c) for c in chunks.columns if c != "id"])
+    """Chunk rows with their vector, one per id; rows without a vector are left out.
+
+    The delta is written first.  Its size is then known, and a small one is
+    sent to the vectors, which are much wider and would be shuffled otherwise.
+    """
+    once = to_scratch(keep_first(chunks, ["id"], [F.col(c) for c in chunks.columns if c != "id"]), "delta")
     return once.join(vectors.select("id", "embedding"), "id").drop("gcs_uri")
 
 

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.strings import WATCH_URL, id_after_equals, size_pretty, url_of
-from ..operators.joins import restrict
-from .chunk_search import Urls
+from ..operators.joins import Keys, restrict, short_list
 from ..sources.files import list_objects
 
 
@@ -17,10 +16,10 @@ def transcript_of(transcripts: DataFrame, video_id: str) -> DataFrame:
     return transcripts.where(F.col("url") == WATCH_URL + video_id).orderBy("segment_id")
 
 
-def transcripts_of(transcripts: DataFrame, video_ids: Urls) -> DataFrame:
+def transcripts_of(transcripts: DataFrame, video_ids: Keys) -> DataFrame:
     """Whole transcripts in order, with ``video_id``; ids are a list or a frame."""
     if isinstance(video_ids, DataFrame):
-        urls: Urls = video_ids.select(url_of(F.col(video_ids.columns[0])).alias("url"))
+        urls: Keys = short_list(video_ids.select(url_of(F.col(video_ids.columns[0])).alias("url")))
     else:
         urls = [WATCH_URL + v for v in video_ids]
     picked = restrict(transcripts, urls, "url").withColumn("video_id", id_after_equals(F.col("url")))
@@ -31,8 +30,8 @@ def metadata_of(metadata: DataFrame, video_id: str) -> DataFrame:
     return metadata.where(F.col("url") == WATCH_URL + video_id)
 
 
-def metadata_of_many(metadata: DataFrame, video_ids: Urls) -> DataFrame:
-    return restrict(metadata, video_ids, "id")
+def metadata_of_many(metadata: DataFrame, video_ids: Keys) -> DataFrame:
+    return restrict(metadata, short_list(video_ids), "id")
 
 
 def video_counts(tables: Mapping[str, DataFrame], key: str = "url", approximate: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "tapeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,10 +67,12 @@ def pin(df: DataFrame, max_rows: int = PIN_ROWS) -> pa.Table:
     Without this, a top-k that is used in three places of a plan scans the
     base table three times.  `local` turns the rows into a frame again.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         raise ValueError(f"refusing to pin more than {max_rows} rows; limit the frame first")
-    return rows
+    layout = to_arrow_schema(df.schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(layout)]
+    return pa.Table.from_arrays(columns, schema=layout)
 
 
 def local(spark: SparkSession, rows: pa.Table) -> DataFrame:

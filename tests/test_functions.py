@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions import embed, scores, strings, text, times, titles, vectors
+from tapeloom.functions import embed, scores, stem, strings, text, times, titles, vectors
 
 
 def values(spark, kind, rows, fn):
@@ -155,3 +155,21 @@ def test_embedder(spark):
     assert got[1] is None and got[0] == got[2]
     assert got[0] == pytest.approx(embed.embed_one("big sky", model), abs=1e-6)
     assert sum(x * x for x in got[0]) == pytest.approx(1.0, abs=1e-5)
+
+
+# Words and stems of the published sample vocabulary.
+STEMS = """
+consign consign consigned consign consigning consign consignment consign consistency consist consistently consist
+consolation consol consolatory consolatori consolidating consolid consolingly consol consonant conson conspicuous conspicu
+conspiracy conspiraci conspirators conspir constables constabl constancy constanc knackeries knackeri knavish knavish
+kneaded knead kneeled kneel knife knife knightly knight knitted knit knives knive knocker knocker knots knot
+happy happi sky sky generate generat generously generous communism communism gas gas kiwis kiwi agreed agre feed feed
+relational relat rational ration valency valenc digitizer digit radically radic differently differ decisiveness decis
+sensibility sensibl triplicate triplic electricity electr goodness good allowance allow airliner airlin replacement replac
+adoption adopt controlling control songs song reviews review ties tie cries cri rhythmic rhythmic
+""".split()
+
+
+def test_stems(spark):
+    cases = dict(zip(STEMS[::2], STEMS[1::2]))
+    check(spark, "string", {**cases, "café": "café", "of": "of", None: None}, stem.stem)

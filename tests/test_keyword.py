@@ -101,3 +101,24 @@ def test_stored_postings_prune_folders(spark, segments, plan_of, tmp_path):
 def test_scan_needs_no_shuffle(segments, plan_of):
     found = segments.select("segment_id", keyword.word_rank(F.col("text"), "king pop").alias("rank")).where("rank > 0")
     assert "Exchange" not in plan_of(found)
+
+
+def test_stems_widen_the_query(spark):
+    rows = [("u", 0, "Songs of the nights"), ("u", 1, "a song"), ("u", 2, "singing nightly"), ("u", 3, "night songs, night song")]
+    df = spark.createDataFrame(rows, "url string, segment_id int, text string")
+    index = keyword.postings(df)
+    known = keyword.vocabulary(index)
+    variants = keyword.stem_variants(known, "song of night")
+    assert variants == {"song": ["song", "songs"], "night": ["night", "nightly", "nights"]}
+
+    def found(rank):
+        return ranks(df.select("url", "segment_id", rank.alias("rank")).where("rank > 0"))
+
+    words = found(keyword.word_rank(F.col("text"), "song of night", variants))
+    assert words == {0: 0.2, 1: 0.1, 2: 0.1, 3: 0.4} == ranks(keyword.word_hits(index, "song of night", variants=variants))
+    phrase = found(keyword.phrase_rank(F.col("text"), "song of night", variants))
+    assert phrase == ranks(keyword.phrase_hits(index, "song of night", variants=variants))
+    # "songs of the nights" has one word too many; "songs, night song" has a foreign gap of none.
+    assert phrase == {}
+    adjacent = keyword.stem_variants(known, "night song")
+    assert found(keyword.phrase_rank(F.col("text"), "night song", adjacent)) == {3: 0.2}

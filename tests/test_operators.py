@@ -130,6 +130,23 @@ def test_chunk_text_with_gapped_ids(spark):
     assert chunks.chunk_to_text(stored, df.where("false")).first().text == ""
 
 
+def test_chunk_text_on_and_off_the_grid(spark, plan_of):
+    df = spark.createDataFrame([(u, i, f"{u}{i} ", float(i), i + 1.0) for u in "ab" for i in range(40)], "url string, segment_id int, text string, segment_start double, segment_end double")
+    regular = [(f"{u}{s}x{n}", u, s, s + n) for u in "abz" for n in (3, 4) for s in range(0, 44, n)]
+    layout = "id string, url string, start_segment int, end_segment int"
+    on_grid = spark.createDataFrame(regular, layout)
+    off_grid = spark.createDataFrame(regular + [("odd", "a", 5, 8), ("none", "a", 7, 7)], layout)
+    one, two = chunks.chunk_to_text(on_grid, df), chunks.chunk_to_text(off_grid, df)
+    assert two.where("id NOT IN ('odd', 'none')").exceptAll(one).isEmpty() and one.count() == len(regular)
+    assert {r.id: r.text for r in two.where("id IN ('odd', 'none')").collect()} == {"odd": "a5 a6 a7 ", "none": ""}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # One exchange per side of the join and none for the grouping.
+        assert plan_of(chunks.chunk_to_text(on_grid, df)).count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_z_scores(spark):
     df = spark.range(5).select(F.col("id").cast("double").alias("x"))
     got = [r.z for r in fusion.add_z_scores(df, {"x": "z"}).orderBy("x").collect()]
