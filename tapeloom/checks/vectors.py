@@ -169,23 +169,23 @@ def ivf_all_cells(spark, sf_dir):
     return _rounded(found.select("id", "url", "cos_sim"), "cos_sim")
 
 
-def _quality(spark, sf_dir):
+def _quality(spark, sf_dir, lists, probes, screens):
     tables = corpus.search_tables(spark, sf_dir)
     queries = {
         f"label {r['label']}": [float(x) for x in r["center"]]
         for r in label_centers(spark, sf_dir).orderBy("label").limit(2).collect()
     }
     return evaluation.sweep(
-        tables, queries, scratch_dir(spark, "sweep"), lists=(2, 8), probes=(1, 4), screens=(100, 1000),
+        tables, queries, scratch_dir(spark, "sweep"), lists=lists, probes=probes, screens=screens
     )
 
 
 def ann_quality(spark, sf_dir):
-    return _quality(spark, sf_dir).drop("query_time")
+    return _quality(spark, sf_dir, (2, 8), (1, 4), (100, 1000)).drop("query_time")
 
 
 def ann_summary(spark, sf_dir):
-    found = _quality(spark, sf_dir)
+    found = _quality(spark, sf_dir, (6,), (1, 4), (100,))
     means = quality.mean_by(found, "kendall_tau", ["configuration", "nearest_neighbors_to_screen"])
     spread = quality.five_numbers(found, "n_overlap", ["configuration"])
     return means.join(spread, "configuration")

@@ -29,40 +29,40 @@ def matrix_of(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return usable, flat.astype(np.float64, copy=False).reshape(-1, dims)
 
 
-def spread(values: np.ndarray, usable: np.ndarray) -> pa.Array:
-    """Scores of the usable rows, null for the others and for NaN."""
-    out = np.full(len(usable), np.nan)
-    out[usable] = values
-    return pa.array(out, mask=np.isnan(out))
-
-
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _score(vector: Column, query: Sequence[float], unit: bool) -> Column:
+def score_batch(vectors: pa.Array, query: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of a batch of vectors; NaN where there is none."""
+    usable, rows = matrix_of(vectors, len(query))
+    if metric == "cosine":
+        rows, query = unit_rows(rows), unit_rows(query[None, :])[0]
+    out = np.full(len(usable), np.nan)
+    out[usable] = np.round(rows @ query, SCORE_DECIMALS)
+    return out
+
+
+def _score(vector: Column, query: Sequence[float], metric: str) -> Column:
     target = np.asarray(query, dtype=np.float64)
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
-        usable, rows = matrix_of(vectors, len(target))
-        side = target
-        if unit:
-            rows, side = unit_rows(rows), unit_rows(target[None, :])[0]
-        return spread(np.round(rows @ side, SCORE_DECIMALS), usable)
+        scores = score_batch(vectors, target, metric)
+        return pa.array(scores, mask=np.isnan(scores))
 
     return score(vector)
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity of a vector column and one query vector."""
-    return _score(vector, query, unit=True)
+    return _score(vector, query, "cosine")
 
 
 def inner_product(vector: Column, query: Sequence[float]) -> Column:
     """Dot product of a vector column and one query vector."""
-    return _score(vector, query, unit=False)
+    return _score(vector, query, "inner_product")
 
 
 def unit_vector(vector: Column) -> Column:

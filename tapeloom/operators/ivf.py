@@ -13,8 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.vectors import matrix_of, unit_rows, unit_vector
-from .nearest import by_similarity, score, scored
-from .rows import top_k
+from .nearest import nearest
 
 # Centroids are trained on this many rows per cell, and at least this many in
 # all.  Every row of the table is filed; only the training reads a sample.
@@ -110,9 +109,7 @@ def build(
 
 def cells_to_probe(centroids: DataFrame, query: Sequence[float], probes: int) -> list[int]:
     """The ``probes`` cells whose centroids are closest to the query."""
-    ranked = top_k(
-        score(centroids, query, vector="center"), [F.col("cos_sim").desc(), F.col("cell")], probes
-    )
+    ranked = nearest(centroids, query, probes, vector="center", id_col="cell")
     return [row["cell"] for row in ranked.collect()]
 
 
@@ -132,4 +129,4 @@ def search(
     """
     chosen = cells_to_probe(index.centroids(spark), query, probes)
     scan = index.vectors(spark).where(F.col("cell").isin(*chosen)).drop("cell")
-    return scored(top_k(score(scan, query, vector, index.metric), by_similarity(id_col), n))
+    return nearest(scan, query, n, vector, id_col, index.metric)

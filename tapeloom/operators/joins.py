@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -49,9 +50,11 @@ def absent_null_aware(df: DataFrame, known: DataFrame, on: str, known_on: str |
 
 
 # Up to this many keys go into the scan as literals, where they prune files
-# and row groups; more of them become a join.
-LITERAL_KEYS = 1000
-
+# and row groups.
+LITERAL_KEYS = 100
+# Up to this many keys are held as a list.  Its frame has a size the planner
+# knows, so a join with it need not shuffle the other side.
+LISTED_KEYS = 10_000
 
 Keys = Sequence[str] | DataFrame
 
@@ -60,8 +63,8 @@ def short_list(keys: Keys) -> Keys:
     """A list when there are few keys; otherwise the keys as they are."""
     if not isinstance(keys, DataFrame):
         return keys
-    found = keys_of(keys, keys.columns[0]).limit(LITERAL_KEYS + 1).collect()
-    return keys if len(found) > LITERAL_KEYS else [row[0] for row in found]
+    found = keys_of(keys, keys.columns[0]).limit(LISTED_KEYS + 1).collect()
+    return keys if len(found) > LISTED_KEYS else [row[0] for row in found]
 
 
 def restrict(df: DataFrame, keys: Keys, on: str) -> DataFrame:
@@ -69,10 +72,11 @@ def restrict(df: DataFrame, keys: Keys, on: str) -> DataFrame:
     if isinstance(keys, DataFrame):
         return present(df, keys, on, keys.columns[0])
     unique = sorted({k for k in keys if k is not None})
+    if not unique:
+        return df.where(F.lit(False))
     if len(unique) <= LITERAL_KEYS:
-        return df.where(F.col(on).isin(*unique)) if unique else df.where(F.lit(False))
-    listed = df.sparkSession.createDataFrame([(k,) for k in unique], f"`{on}` string")
-    return present(df, listed, on)
+        return df.where(F.col(on).isin(*unique))
+    return df.join(df.sparkSession.createDataFrame(pa.table({on: unique})), on, "left_semi")
 
 
 def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:

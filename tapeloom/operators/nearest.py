@@ -6,9 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.vectors import SCORE_DECIMALS, cosine, inner_product, matrix_of, unit_rows
+from ..functions.vectors import SCORE_DECIMALS, cosine, inner_product, matrix_of, score_batch, unit_rows
 from .rows import top_k, top_per_group
 
 # Query vectors up to this size go to every task; more are handled block-wise.
@@ -38,6 +39,23 @@ def by_similarity(id_col: str = "id") -> list:
     return [F.col("cos_sim").desc_nulls_last(), F.col(id_col)]
 
 
+def first_rows(rows: pa.Table, n: int, id_col: str) -> pa.Table:
+    """The ``n`` best rows of a table, equal scores by id."""
+    if rows.num_rows <= n:
+        return rows
+    order = pc.sort_indices(rows, sort_keys=[("cos_sim", "descending"), (id_col, "ascending")])
+    return rows.take(order[:n])
+
+
+def contenders(scores: np.ndarray, best: pa.Table | None, n: int) -> np.ndarray:
+    """Positions of scores that may enter the ``n`` best; NaN never does."""
+    floor = pc.min(best["cos_sim"]).as_py() if best is not None and best.num_rows >= n else -np.inf
+    picked = np.flatnonzero(scores >= floor)
+    if len(picked) > n:
+        picked = picked[scores[picked] >= np.partition(scores[picked], -n)[-n]]
+    return picked
+
+
 def nearest(
     df: DataFrame,
     query: Sequence[float],
@@ -46,8 +64,28 @@ def nearest(
     id_col: str = "id",
     metric: str = "cosine",
 ) -> DataFrame:
-    """The ``n`` most similar rows, best first."""
-    return scored(top_k(score(df, query, vector, metric), by_similarity(id_col), n))
+    """The ``n`` most similar rows, best first, without their vectors.
+
+    Every task keeps its own ``n`` best rows while it reads, so neither all
+    scores nor any vector comes back to the JVM.
+    """
+    target = np.asarray(query, dtype=np.float64)
+    rest = [c for c in df.columns if c != vector]
+    layout = T.StructType([df.schema[c] for c in rest]).add("cos_sim", T.DoubleType())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            scores = score_batch(rows[vector], target, metric)
+            picked = contenders(scores, best, n)
+            if len(picked):
+                found = rows.select(rest).take(pa.array(picked)).append_column("cos_sim", pa.array(scores[picked]))
+                best = first_rows(found if best is None else pa.concat_tables([best, found]), n, id_col)
+        if best is not None:
+            yield from best.to_batches()
+
+    return top_k(df.mapInArrow(scan, layout), by_similarity(id_col), n)
 
 
 def nearest_per_group(
@@ -61,32 +99,38 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _best_of_batch(
-    ids: pa.Array, vectors: pa.Array, query_ids: pa.Array, queries: np.ndarray, n: int
-) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
-    """Query id, id and score of rows that can still be among a query's first ``n``."""
-    usable, rows = matrix_of(vectors, queries.shape[1])
-    kept_ids = ids.filter(pa.array(usable))
-    scores = np.round(unit_rows(rows) @ queries.T, SCORE_DECIMALS)
-    for q in range(len(query_ids)):
-        column = scores[:, q]
-        good = ~np.isnan(column)
-        if good.sum() > n:
-            # Ties with the n-th score stay; the final ranking settles them.
-            good &= column >= np.partition(column[good], -n)[-n]
-        picked = np.flatnonzero(good)
-        if len(picked):
-            name = query_ids.take(pa.array([q] * len(picked)))
-            yield name, kept_ids.take(pa.array(picked)), pa.array(column[picked])
-
-
-def _by_length(ids: pa.Array, vectors: pa.Array) -> list[tuple[pa.Array, np.ndarray]]:
-    """Query ids and unit vectors, one matrix per vector length."""
-    sets = []
+class _Best:
+    """The best rows of every query among the vectors seen so far."""
+
+    def __init__(self, query_ids: pa.Array, queries: np.ndarray, n: int, names: list[str]):
+        self.query_ids, self.queries, self.n, self.names = query_ids, queries, n, names
+        self.rows: list[pa.Table | None] = [None] * len(query_ids)
+
+    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        usable, matrix = matrix_of(vectors, self.queries.shape[1])
+        kept = ids.filter(pa.array(usable))
+        scores = np.round(unit_rows(matrix) @ self.queries.T, SCORE_DECIMALS)
+        for q, best in enumerate(self.rows):
+            picked = contenders(scores[:, q], best, self.n)
+            if len(picked):
+                found = pa.table([kept.take(pa.array(picked)), pa.array(scores[picked, q])], self.names[1:])
+                self.rows[q] = first_rows(
+                    found if best is None else pa.concat_tables([best, found]), self.n, self.names[1]
+                )
+
+    def tables(self) -> Iterator[pa.Table]:
+        for q, best in enumerate(self.rows):
+            if best is not None:
+                yield best.add_column(0, self.names[0], self.query_ids.take(pa.array([q] * best.num_rows)))
+
+
+def _queries_by_length(ids: pa.Array, vectors: pa.Array, n: int, names: list[str]) -> list[_Best]:
+    """Unit query vectors, one matrix per vector length."""
+    found = []
     for dims in sorted({len(v) for v in vectors.to_pylist()}):
         usable, matrix = matrix_of(vectors, dims)
-        sets.append((ids.filter(pa.array(usable)), unit_rows(matrix)))
-    return sets
+        found.append(_Best(ids.filter(pa.array(usable)), unit_rows(matrix), n, names))
+    return found
 
 
 def nearest_for_queries(
@@ -102,7 +146,7 @@ def nearest_for_queries(
     """The ``n`` most similar rows for each query: query id, id, ``cos_sim``, ``rn``.
 
     Each task multiplies its batches of vectors with the matrix of queries and
-    passes on only candidates for the first ``n``.  A query set too large to
+    passes on its ``n`` best rows per query.  A query set too large to
     send to every task is laid out with the vectors on a grid of blocks.
     """
     id_type = df.schema[id_col].dataType.simpleString()
@@ -114,14 +158,17 @@ def nearest_for_queries(
         F.count(F.lit(1)), F.coalesce(F.sum(F.size(query_vector)), F.lit(0))
     ).first()
     if floats * 8 <= query_bytes:
-        listed = queries.toArrow().combine_chunks()
-        sets = _by_length(*[_whole(listed.column(c)) for c in (query_id, query_vector)])
+        listed = queries.toArrow()
+        ids, vectors = _whole(listed[query_id]), _whole(listed[query_vector])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = _queries_by_length(ids, vectors, n, names)
             for batch in batches:
-                for query_ids, matrix in sets:
-                    for found in _best_of_batch(batch.column(0), batch.column(1), query_ids, matrix, n):
-                        yield pa.RecordBatch.from_arrays(list(found), names)
+                for best in sets:
+                    best.add(batch.column(0), batch.column(1))
+            for best in sets:
+                for rows in best.tables():
+                    yield from rows.to_batches()
 
         candidates = df.select(id_col, vector).mapInArrow(scan, layout)
     else:
@@ -145,14 +192,12 @@ def _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, lay
     names = [query_id, id_col, "cos_sim"]
 
     def meet(vectors: pa.Table, block: pa.Table) -> pa.Table:
-        ids, rows = _whole(vectors.column(id_col)), _whole(vectors.column(vector))
-        sets = _by_length(_whole(block.column(query_id)), _whole(block.column(query_vector)))
-        parts = [
-            pa.table(list(found), names)
-            for query_ids, matrix in sets
-            for found in _best_of_batch(ids, rows, query_ids, matrix, n)
-        ]
+        ids, rows = _whole(vectors[id_col]), _whole(vectors[vector])
         types = [block.schema.field(query_id).type, ids.type, pa.float64()]
-        return pa.concat_tables([pa.table([pa.array([], t) for t in types], names), *parts])
+        parts = [pa.table([pa.array([], t) for t in types], names)]
+        for best in _queries_by_length(_whole(block[query_id]), _whole(block[query_vector]), n, names):
+            best.add(ids, rows)
+            parts += best.tables()
+        return pa.concat_tables(parts)
 
     return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(meet, layout)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.strings import url_of
 from ..operators.chunks import chunk_to_text
+from ..session import scratch_dir
+from ..sources.sinks import append_clustered
 from .chunk_search import SearchTables
 from .jobs import enrich, enrichments
 
@@ -132,13 +134,27 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_to_text(embeddings(spark, sf_dir), transcripts(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], SearchTables] = {}
+
+
 def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
-    return SearchTables(
-        embeddings(spark, sf_dir),
-        transcripts(spark, sf_dir),
-        served_metadata(spark, sf_dir),
-        chunk_text(spark, sf_dir),
-    )
+    """The serving tables as the daily jobs would leave them, read from storage.
+
+    They are written once per application and data folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = scratch_dir(spark, "serving")
+        made = {
+            "embeddings": (embeddings(spark, sf_dir), ["url", "id"]),
+            "transcripts": (transcripts(spark, sf_dir), ["url", "segment_id"]),
+            "metadata": (served_metadata(spark, sf_dir), ["url"]),
+            "chunk_text": (chunk_text(spark, sf_dir), ["url", "id"]),
+        }
+        for name, (df, by) in made.items():
+            append_clustered(df, f"{root}/{name}", by)
+        _STORED[key] = SearchTables(*[spark.read.parquet(f"{root}/{name}") for name in made])
+    return _STORED[key]
 
 
 def vector_row(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

@@ -22,6 +22,16 @@ def append(df: DataFrame, target: str, columns: Sequence[str] | None = None) ->
     df.select(*names).write.mode("append").insertInto(target)
 
 
+def append_clustered(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Append to a Parquet path in ranges of the ``by`` columns.
+
+    A search for a few urls then reads only the row groups whose range holds
+    them.  Name a second column, such as the segment number, so that one very
+    long video is spread over several files.
+    """
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("append").parquet(path)
+
+
 def append_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options: str) -> None:
     """Append to a table of another database, ``batch_rows`` per statement."""
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch_rows), **options).mode("append").save()
