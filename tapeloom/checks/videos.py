@@ -11,7 +11,7 @@ from .keyword import PAIRS, TOKENS
 
 QUERY = "de la"
 SEPARATOR = " || "
-TYPES = ["album_review", "misc", "ep_review", "track_review", "tnd_podcast"]
+TYPES = ["album_review", "misc", "ep_review", "track_review", "tnd_podcast", "yunoreview"]
 
 
 def _flat(df, *scores):
@@ -90,7 +90,10 @@ def keyword(condition: str, n_videos: int, considered: str = "") -> dict[str, st
         "k_l": f"""SELECT url, string_agg(text, '{SEPARATOR}' ORDER BY nth) AS top_segment_chunks FROM (
     SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank DESC, segment_id) AS nth FROM k_h)
   WHERE nth <= 3 GROUP BY url""",
-        "keyword": """SELECT md.*, w.n, w.score, w.z, l.top_segment_chunks,
+        # A single result scores 1 with a standard score of 0.5.
+        "keyword": """SELECT md.*, w.n, l.top_segment_chunks,
+    CASE WHEN count(*) OVER () = 1 THEN 1 ELSE w.score END AS score,
+    CASE WHEN count(*) OVER () = 1 THEN 0.5 ELSE w.z END AS z,
     row_number() OVER (ORDER BY round(w.score, 12) DESC, w.url) AS position
   FROM k_w w JOIN md ON md.url = w.url JOIN k_l l ON l.url = w.url""",
     }
@@ -229,11 +232,8 @@ HYBRID = f"""SELECT fused.url, round(neural_score, 6) AS neural_score, round(nz,
   round(fused_score, 6) AS fused_score, round(avg_z_score, 6) AS avg_z_score, CAST(position AS INT) AS position,
   top_segment_chunks, cos_sim FROM fused LEFT JOIN lists ON lists.url = fused.url"""
 
-_FILTERED = (
-    "md.video_type IN ('album_review', 'misc', 'ep_review', 'track_review', 'tnd_podcast')"
-    " AND md.review_score BETWEEN 0 AND 10"
-)
-_TYPED = "md.video_type IN ('album_review', 'misc', 'ep_review', 'track_review', 'tnd_podcast')"
+_TYPED = f"md.video_type IN ({', '.join(repr(t) for t in TYPES)})"
+_FILTERED = f"{_TYPED} AND md.review_score BETWEEN 0 AND 10"
 _BASE = ("sc", "md", "tr", "ct")
 
 CHECKS = {
