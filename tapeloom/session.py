@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 
 def build_session(app: str = "tapeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -80,4 +80,5 @@ def local(spark: SparkSession, rows: pa.Table) -> DataFrame:
 
     The rows are few, so they stay in one partition and need no shuffles.
     """
-    return spark.createDataFrame(rows).coalesce(1)
+    layout = from_arrow_schema(rows.schema, prefer_timestamp_ntz=True)
+    return spark.createDataFrame(rows, layout).coalesce(1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import chunks, fusion, joins, nearest, quality, rows
 from tapeloom.operators.filters import Filters
+from tapeloom.session import local, pin
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +213,14 @@ def test_tau_and_overlap(spark):
     assert rows_["s"].n_overlap == 5 and rows_["s"].kendall_tau == pytest.approx(0.8)
     assert rows_["s"].p_value == pytest.approx(2 * (1 + 4) / 120)
     assert rows_["t"].n_overlap == 0 and rows_["t"].kendall_tau is None and rows_["t"].p_value is None
+
+
+def test_pinned_rows_keep_their_types(spark):
+    df = spark.sql(
+        "SELECT timestamp_ntz'2024-01-01 05:00:00' AS a, timestamp'2024-01-01 05:00:00' AS b, array('x') AS c,"
+        " CAST(NULL AS double) AS d, 1 AS e, named_struct('f', date'2024-01-01') AS g"
+    )
+    again = local(spark, pin(df))
+    assert again.dtypes == df.dtypes and again.collect() == df.collect()
+    with pytest.raises(ValueError):
+        pin(spark.range(5), max_rows=4)
