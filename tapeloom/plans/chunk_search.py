@@ -187,12 +187,14 @@ def phrase_chunks_for_urls(
         "url", "segment_id", "segment_seek", tables.phrase_rank(query).alias("rank")
     )
     chunks = restrict(tables.chunk_text, urls, "url")
-    found = interval_join(chunks, ranked.where(F.col("rank") > 0), "url", "segment_id")
+    # Texts join after the ranking, so that expanding the ranges copies only keys.
+    found = interval_join(chunks.select(*_CHUNK), ranked.where(F.col("rank") > 0), "url", "segment_id")
     order = [F.col("rank").desc(), F.col("id"), F.col("segment_id")]
     if best_per_chunk:
         found = keep_first(found, ["url", "id"], order)
-    picked = top_per_group(found, ["url"], order, n_per_url, rank="rn")
-    return picked.select(
+    picked = top_per_group(found, ["url"], order, n_per_url, rank="rn").select("url", "id", "segment_seek", "rank", "rn")
+    texts = chunks.select("url", "id", "segment_start", "segment_end", "text")
+    return picked.join(texts, ["url", "id"]).select(
         "url", "id", "segment_seek", "segment_start", "segment_end", "text", "rank", "rn", flag_null("cos_sim", "double")
     )
 
