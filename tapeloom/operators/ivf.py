@@ -92,14 +92,18 @@ def build(
     metric: str = "cosine",
     seed: int = 7,
     iterations: int = 10,
+    training: DataFrame | None = None,
 ) -> IvfIndex:
     """Write an index of ``df`` below ``path``, which must not exist yet.
 
+    Centroids come from a sample of the whole table, or of ``training``, such
+    as a few of its files, which saves reading a very large table twice.
+
     ``rebalance`` brings a cell's rows together and lets adaptive execution
     split a cell that holds much of the table.
     """
     spark = df.sparkSession
-    centers = train_centroids(df, cells, vector, seed, iterations)
+    centers = train_centroids(df if training is None else training, cells, vector, seed, iterations)
     filed = df.withColumn("cell", nearest_cell(F.col(vector), centers))
     filed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
@@ -121,6 +125,7 @@ def search(
     probes: int = 50,
     vector: str = "embedding",
     id_col: str = "id",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The ``n`` most similar rows among the probed cells, best first.
 
@@ -129,4 +134,5 @@ def search(
     """
     chosen = cells_to_probe(index.centroids(spark), query, probes)
     scan = index.vectors(spark).where(F.col("cell").isin(*chosen)).drop("cell")
+    scan = scan.select(*columns, vector) if columns else scan
     return nearest(scan, query, n, vector, id_col, index.metric)

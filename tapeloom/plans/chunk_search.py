@@ -16,7 +16,7 @@ from ..operators.filters import Filters
 from ..operators.fusion import first_known
 from ..operators.joins import Keys, flag_null, interval_join, present, restrict, short_list
 from ..operators.rows import keep_first, top_k, top_per_group
-from ..session import local, pin
+from ..session import PIN_ROWS, fixed
 
 NO_FILTERS = Filters()
 Urls = Keys
@@ -109,21 +109,20 @@ def similar_chunks_filtered(
         if tables.index is None:
             found = nearest.nearest(base, vector, screen)
         else:
-            found = ivf.search(tables.embeddings.sparkSession, tables.index, vector, screen, tables.probes)
-            found = found.select(*_CHUNK, "cos_sim")
+            spark = tables.embeddings.sparkSession
+            found = ivf.search(spark, tables.index, vector, screen, tables.probes, columns=_CHUNK)
         if filters.active():
-            # The screened side is bounded by ``screen``; the metadata is not.
-            found = allowed.join(F.broadcast(found), "url").select(*_CHUNK, "cos_sim")
+            # The screened side has at most ``screen`` rows; the metadata has any number.
+            side = F.broadcast(found) if screen <= PIN_ROWS else found
+            found = allowed.join(side, "url").select(*_CHUNK, "cos_sim")
     found = nearest.scored(top_k(found, nearest.by_similarity(), n))
-    return _with_text(tables, found) if include_text else found
+    return _with_text(tables, found, n) if include_text else found
 
 
-def _with_text(tables: SearchTables, found: DataFrame) -> DataFrame:
-    """Late text fetch for a bounded list of chunks, best first."""
-    spark = found.sparkSession
-    rows = pin(found)
-    chunks = local(spark, rows)
-    segments = restrict(tables.transcripts, rows.column("url").to_pylist(), "url")
+def _with_text(tables: SearchTables, found: DataFrame, n: int) -> DataFrame:
+    """Late text fetch for a list of at most ``n`` chunks, best first."""
+    chunks, urls = fixed(found, n, "url")
+    segments = tables.transcripts if urls is None else restrict(tables.transcripts, urls, "url")
     return with_spaced_text(chunks, segments).orderBy(*nearest.by_similarity())
 
 
@@ -157,9 +156,8 @@ def keyword_segments(
     hits = segment_hits(tables, query, filters)
     titles = tables.metadata.select("url", "title")
     if n is not None:
-        rows = pin(top_k(hits, by_rank(), n))
-        hits = local(hits.sparkSession, rows)
-        titles = restrict(titles, rows.column("url").to_pylist(), "url")
+        hits, urls = fixed(top_k(hits, by_rank(), n), n, "url")
+        titles = titles if urls is None else restrict(titles, urls, "url")
     wanted = ["title", "url", *(["text"] if include_text else []), F.col("segment_id").alias("id")]
     return (
         hits.join(titles, "url", "left")

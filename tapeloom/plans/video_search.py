@@ -17,7 +17,7 @@ from ..operators.fusion import add_z_scores, first_known
 from ..operators.joins import restrict
 from ..operators.nearest import by_similarity
 from ..operators.rows import top_k, top_per_group
-from ..session import local, pin
+from ..session import fixed, local, pin
 from .chunk_search import (
     NO_FILTERS,
     SearchTables,
@@ -100,9 +100,8 @@ def _neural_winners(
     screen: int | None = 5000,
 ) -> _Winners:
     spark = tables.embeddings.sparkSession
-    candidates = local(
-        spark, pin(similar_chunks_filtered(tables, query, n_chunks_to_consider, screen, filters))
-    )
+    similar = similar_chunks_filtered(tables, query, n_chunks_to_consider, screen, filters)
+    candidates, _ = fixed(similar, n_chunks_to_consider, "url")
     rows = pin(neural_ranking(candidates, n_chunks_per_video, min_chunks, n_videos))
     urls = rows.column("url").to_pylist()
     scores = local(spark, rows).select(
@@ -160,7 +159,7 @@ def _keyword_winners(
     spark = tables.transcripts.sparkSession
     hits = segment_hits(tables, query, filters)
     if n_results_to_consider is not None:
-        hits = local(spark, pin(top_k(hits, by_rank(), n_results_to_consider)))
+        hits, _ = fixed(top_k(hits, by_rank(), n_results_to_consider), n_results_to_consider, "url")
     rows = pin(top_k(keyword_group_scores(hits), _best_first("keyword_search_score"), n_videos))
     urls = rows.column("url").to_pylist()
     scores = local(spark, rows).select(

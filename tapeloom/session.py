@@ -82,3 +82,15 @@ def local(spark: SparkSession, rows: pa.Table) -> DataFrame:
     """
     layout = from_arrow_schema(rows.schema, prefer_timestamp_ntz=True)
     return spark.createDataFrame(rows, layout).coalesce(1)
+
+
+def fixed(df: DataFrame, bound: int, key: str) -> tuple[DataFrame, list | None]:
+    """A frame of at most ``bound`` rows, evaluated once, and its keys.
+
+    A short one is held as local rows.  A long one is written to the scratch
+    folder, and its keys are not listed.
+    """
+    if bound > PIN_ROWS:
+        return to_scratch(df, "fixed"), None
+    rows = pin(df)
+    return local(df.sparkSession, rows), rows.column(key).to_pylist()

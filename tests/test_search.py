@@ -131,3 +131,18 @@ def test_keyword_limit_and_titles(tables):
     assert len(ten) == 10 < len(every)
     assert [(r.url, r.id) for r in ten] == [(r.url, r.id) for r in every[:10]]
     assert all(r.title for r in ten) and "text" in ten[0].asDict()
+
+
+def test_long_lists_are_written_instead_of_held(tables, vector, monkeypatch):
+    def results():
+        return [
+            video_search.neural_search(tables, vector).collect(),
+            video_search.keyword_search(tables, "de la der", n_results_to_consider=20).collect(),
+            chunk_search.keyword_segments(tables, "de la der", 12, include_text=True).collect(),
+            chunk_search.similar_chunks_filtered(tables, vector, 12, 100, Filters(review_score=[5, None]), True).collect(),
+        ]
+
+    held = results()
+    for module in ("tapeloom.session", "tapeloom.plans.chunk_search"):
+        monkeypatch.setattr(f"{module}.PIN_ROWS", 11)
+    assert results() == held
