@@ -34,8 +34,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..session import to_scratch
 from .common import arrow, empty_as_bytes
 
-BUCKET_BYTES = 32 << 20  # aim for the contents of a bucket
-TABLE_BYTES = 96 << 20  # a table takes no new content beyond this
+BUCKET_BYTES = 16 << 20  # aim for the contents of a bucket
+TABLE_BYTES = 48 << 20  # a table takes no new content beyond this
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -156,11 +156,11 @@ def _local_groups(docs: DataFrame, id_col: str, text_col: str, table_bytes: int)
     return arrow(docs, task, schema)
 
 
-def _merge(reps: DataFrame, text_field: str, table_bytes: int) -> DataFrame:
+def _merge(reps: DataFrame, text_field: str, table_bytes: int, carry: bool) -> DataFrame:
     """Groups of equal contents within each partition.
 
-    ``level`` 0 rows carry the group of a representative; the one with
-    ``whole`` is the row that stays.  ``level`` 1 rows are spilled
+    ``level`` 0 rows carry the group of a representative; with ``carry``, one of
+    them has the row that stays in ``whole``.  ``level`` 1 rows are spilled
     representatives.
     """
     schema = StructType([
@@ -184,9 +184,9 @@ def _merge(reps: DataFrame, text_field: str, table_bytes: int) -> DataFrame:
                 if new:
                     groups.append([key, 0])
                     shas.append(row["sha"])
-                    kept[number] = row["whole"]
                 elif _better(key, groups[number][0]):
                     groups[number][0] = key
+                if carry and groups[number][0] == key:
                     kept[number] = row["whole"]
                 groups[number][1] += row["members"]
                 members.append((number, row["task"], row["rep"]))
@@ -210,7 +210,7 @@ def _merge(reps: DataFrame, text_field: str, table_bytes: int) -> DataFrame:
 
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    bucket_bytes: int = BUCKET_BYTES, table_bytes: int = TABLE_BYTES,
+    bucket_bytes: int = BUCKET_BYTES, table_bytes: int = TABLE_BYTES, carry: bool = False,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """All rows with their representative, and the solved levels of representatives."""
     spark = docs.sparkSession
@@ -221,7 +221,7 @@ def groups(
         size = open_reps.agg(F.sum("bytes")).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // bucket_bytes + 1)
         dealt = open_reps.repartition(buckets, F.xxhash64("hash", F.lit(level)))
-        merged = to_scratch(_merge(dealt, text_field, table_bytes), "exact-level")
+        merged = to_scratch(_merge(dealt, text_field, table_bytes, carry), "exact-level")
         solved.append(merged.where("level = 0"))
         open_reps = merged.where("level = 1").select(*local.columns)
         if open_reps.isEmpty():
@@ -250,6 +250,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows that stay, with all their columns."""
-    _, solved = groups(docs, id_col, text_col, **limits)
+    _, solved = groups(docs, id_col, text_col, carry=True, **limits)
     rows = _union(solved).where(F.col("whole").isNotNull())
     return rows.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
