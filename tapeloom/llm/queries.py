@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, pii, quality_rules, secret_scan, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": lambda spark, sf_dir: pii.find_personal_data(documents(spark, sf_dir)),
+    "op2_secret_scan": lambda spark, sf_dir: secret_scan.find_secrets(documents(spark, sf_dir)),
+    "op6_quality_rules": lambda spark, sf_dir: quality_rules.judge(documents(spark, sf_dir)),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
+    "op10_simhash": lambda spark, sf_dir: simhash.near_groups(documents(spark, sf_dir)),
 }
 SQL: dict[str, str] = {}
