@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality_rules, secret_scan, simhash
+from . import (
+    exact_dedup, mixing, packing, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, toxicity,
+)
 from .common import documents
 
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, sf_dir: pii.find_personal_data(documents(spark, sf_dir)),
     "op2_secret_scan": lambda spark, sf_dir: secret_scan.find_secrets(documents(spark, sf_dir)),
+    "op3_token_counts": lambda spark, sf_dir: token_counts.count_tokens(documents(spark, sf_dir)),
+    "op4_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op6_quality_rules": lambda spark, sf_dir: quality_rules.judge(documents(spark, sf_dir)),
+    "op7_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op8_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
+    "op9_quality_model": lambda spark, sf_dir: quality_model.score_quality(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op10_simhash": lambda spark, sf_dir: simhash.near_groups(documents(spark, sf_dir)),
 }
 SQL: dict[str, str] = {}
