@@ -184,6 +184,5 @@ def mixed_rows(
     cuts = found.select(F.col("source").alias("_m_source"), F.col("passes").alias("_m_passes"), F.col("limit").alias("_m_limit"))
     copies = F.col("_m_passes") + (F.col("_m_hash") < F.col("_m_limit")).cast("long")
     joined = sized.join(cuts, F.col(source_col).eqNullSafe(F.col("_m_source")))
-    each = joined.withColumn("_m_copies", copies).where("_m_copies > 0")
-    each = each.withColumn("_m_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies"))))
+    each = joined.withColumn("_m_no", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return each.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -189,4 +189,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are kept, with all their columns."""
     judged = with_verdict(docs, text_col, lang_col)
-    return judged.where("_q_result.kept").drop("_q_result")
+    # A plain filter would be pushed through the projections below and repeat their expressions in itself.
+    kept = F.filter(F.array("_q_result"), lambda r: r["kept"])
+    return judged.withColumn("_q_kept", F.explode(kept)).drop("_q_result", "_q_kept")
