@@ -174,8 +174,8 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.col("_q_n_repeat").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & normal).alias("kept"),
-        F.round("_q_d_chars", 6).alias("chars_distance"),
-        F.round("_q_d_bins", 6).alias("common_distance"),
+        F.round("_q_d_chars", 4).alias("chars_distance"),
+        F.round("_q_d_bins", 4).alias("common_distance"),
     )
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("_q_result"))
 

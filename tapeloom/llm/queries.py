@@ -10,6 +10,7 @@ from . import (
     exact_dedup, mixing, packing, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, toxicity,
 )
 from .common import documents
+from .twins import SQL  # noqa: F401
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +29,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_model": lambda spark, sf_dir: quality_model.score_quality(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op10_simhash": lambda spark, sf_dir: simhash.near_groups(documents(spark, sf_dir)),
 }
-SQL: dict[str, str] = {}
