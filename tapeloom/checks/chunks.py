@@ -56,7 +56,7 @@ def expanded_ranges(spark, sf_dir):
 def embed_chunks(spark, sf_dir):
     """Chunks of all new transcripts with their vectors, summed up per chunk."""
     none = corpus.warehouse_embeddings(spark, sf_dir).where(F.col("video_url").isNull())
-    made = jobs.embed_new(corpus.transcripts(spark, sf_dir), none, HashedWords(64), max_videos=1_000_000)
+    made = jobs.embed_new(corpus.transcripts(spark, sf_dir), none, HashedWords(64), max_videos=None)
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return made.select("id", "video_url", "start_segment", "end_segment", F.size("embedding").alias("dims"), F.round(square, 4).alias("norm"))
 

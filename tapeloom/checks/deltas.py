@@ -55,11 +55,15 @@ def delta_metadata(spark, sf_dir):
 
 
 def delta_metadata_not_in(spark, sf_dir):
-    """A null among the served ids leaves nothing under NOT IN."""
+    """A null among the served ids leaves nothing under NOT IN; without one the fresh videos stay."""
     videos, segments, chunks = _inputs(spark, sf_dir)
-    return jobs.metadata_delta(
-        videos, corpus.enriched(spark, sf_dir), segments, chunks, corpus.served(spark, sf_dir, True), null_aware=True
-    )
+    counts = [
+        jobs.metadata_delta(
+            videos, corpus.enriched(spark, sf_dir), segments, chunks, corpus.served(spark, sf_dir, null), null_aware=True
+        ).agg(F.count(F.lit(1)).alias("kept")).select(F.lit(null).alias("with_null"), "kept")
+        for null in (True, False)
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 DELTA_METADATA = """SELECT vm.id, vm.url, vm.title, vm.description, vm.publish_date, vm.length, en.video_type, en.review_score
@@ -102,8 +106,16 @@ def left_anti(spark, sf_dir):
 
 
 def not_in_null_aware(spark, sf_dir):
+    """How many videos stay, for known urls with and without a null, and for none."""
     videos, _, _ = _inputs(spark, sf_dir)
-    return joins.absent_null_aware(videos.select("id", "url"), corpus.served(spark, sf_dir, True), "url")
+    known = {"null": corpus.served(spark, sf_dir, True), "no null": corpus.served(spark, sf_dir)}
+    known["none"] = known["null"].where("false")
+    counts = [
+        joins.absent_null_aware(videos.select("id", "url"), k, "url").agg(F.count(F.lit(1)).alias("kept"))
+        .select(F.lit(case).alias("case"), "kept")
+        for case, k in known.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 def not_in_no_null(spark, sf_dir):
@@ -193,7 +205,11 @@ ORDER BY 1, 2 LIMIT 4""",
     "delta_metadata": (delta_metadata, with_ctes(DELTA_METADATA.format(served="sv"), "vm", "en", "tr", "wem", "sv")),
     "delta_metadata_not_in": (
         delta_metadata_not_in,
-        with_ctes(DELTA_METADATA.format(served="svn"), "vm", "en", "tr", "wem", "svn"),
+        with_ctes(
+            f"""SELECT true AS with_null, count(*) AS kept FROM ({DELTA_METADATA.format(served="svn")}) UNION ALL
+SELECT false, count(*) FROM ({DELTA_METADATA.format(served="sv")})""",
+            "vm", "en", "tr", "wem", "sv", "svn",
+        ),
     ),
     "delta_transcripts": (delta_transcripts, with_ctes(DELTA_TRANSCRIPTS, "tr", "vm", "wem", "sv")),
     "delta_embeddings": (delta_embeddings, with_ctes(DELTA_EMBEDDINGS, "em", "wem", "sv")),
@@ -203,7 +219,12 @@ ORDER BY 1, 2 LIMIT 4""",
     ),
     "not_in_null_aware": (
         not_in_null_aware,
-        with_ctes("SELECT id, url FROM vm WHERE url NOT IN (SELECT url FROM svn)", "vm", "svn"),
+        with_ctes(
+            """SELECT 'null' AS "case", count(*) AS kept FROM vm WHERE url NOT IN (SELECT url FROM svn) UNION ALL
+SELECT 'no null', count(*) FROM vm WHERE url NOT IN (SELECT url FROM sv) UNION ALL
+SELECT 'none', count(*) FROM vm WHERE url NOT IN (SELECT url FROM sv WHERE false)""",
+            "vm", "sv", "svn",
+        ),
     ),
     "not_in_no_null": (
         not_in_no_null,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 from ..operators import fusion, joins, quality, rows
 from ..operators.filters import Filters
@@ -99,11 +99,12 @@ def z_scores(spark, sf_dir):
 
 
 def group_statistics(spark, sf_dir):
-    grouped = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.median("value"), 6).alias("med"), F.round(F.avg("value"), 6).alias("av"),
-        F.count("value").alias("n"), F.max("value").alias("mx"),
+    events = table(spark, sf_dir, "events")
+    grouped = events.groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("av"), F.count("value").alias("n"), F.max("value").alias("mx")
     )
-    return grouped
+    medians = quality.quantiles(events, "value", ["event_type"], {"med": 0.5})
+    return grouped.join(medians.withColumn("med", F.round("med", 6)), "event_type")
 
 
 def five_numbers(spark, sf_dir):
@@ -113,8 +114,8 @@ def five_numbers(spark, sf_dir):
 
 def dense_ranks(spark, sf_dir):
     """Dense rank of every document's size within its source."""
-    window = Window.partitionBy("source").orderBy(F.col("n_chars").desc())
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.dense_rank().over(window).alias("place"))
+    ranked = rows.dense_ranks(table(spark, sf_dir, "documents"), ["source"], "n_chars", "place")
+    return ranked.select("doc_id", "source", "place")
 
 
 def not_null_rejects(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import ivf, nearest, quality
@@ -157,9 +158,24 @@ def _index(spark, sf_dir, cells):
 
 
 def ivf_topk(spark, sf_dir):
-    index = _index(spark, sf_dir, 8)
-    found = ivf.search(spark, index, vector_row(spark, sf_dir), 10, probes=3)
-    return _rounded(found.select("id", "url", "cos_sim"), "cos_sim")
+    """An index whose centers are the labels' mean vectors, searched in its three closest cells."""
+    centers = np.array([r["center"] for r in label_centers(spark, sf_dir).orderBy("label").collect()])
+    path = scratch_dir(spark, "ivf")
+    index = ivf.build(_rows(spark, sf_dir), path, len(centers), centers=centers)
+    found = ivf.search(spark, index, vector_row(spark, sf_dir), 10, probes=3, id_col="vec_id")
+    return _rounded(found.select("vec_id", "label", "cos_sim"), "cos_sim")
+
+
+IVF_TOPK = """WITH q AS (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 0),
+x AS (SELECT label, pos, round(avg(v::DOUBLE), 9) AS v FROM (
+  SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY label, pos),
+c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, list(v ORDER BY pos) AS center FROM x GROUP BY label),
+p AS (SELECT cell FROM c, q ORDER BY round(list_cosine_similarity(center, qe), 12) DESC, cell LIMIT 3),
+f AS (SELECT e.vec_id, e.label, e.embedding::DOUBLE[] AS v,
+  arg_max(cell, list_cosine_similarity(e.embedding::DOUBLE[], center)) AS cell FROM embeddings e, c GROUP BY ALL)
+SELECT vec_id, label, round(s, 6) AS cos_sim FROM (
+  SELECT vec_id, label, round(list_cosine_similarity(v, qe), 12) AS s FROM f, q WHERE cell IN (SELECT cell FROM p)
+  ORDER BY s DESC, vec_id LIMIT 10)"""
 
 
 def ivf_all_cells(spark, sf_dir):
@@ -209,7 +225,7 @@ CHECKS = {
     "vec_topk_filtered": (filtered, with_ctes(FILTERED, "sc", "md")),
     "vec_topk_filter_first": (filtered_first, with_ctes(FILTERED_FIRST, "sc", "md", "tr")),
     "neural_group_rank": (group_rank, GROUP_RANK),
-    "ivf_topk": (ivf_topk, None),
+    "ivf_topk": (ivf_topk, IVF_TOPK),
     "ivf_topk_all_cells": (
         ivf_all_cells,
         with_ctes("SELECT id, url, round(cos_sim, 6) AS cos_sim FROM sc ORDER BY sc.cos_sim DESC, id LIMIT 10", "sc"),

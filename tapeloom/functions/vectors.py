@@ -71,11 +71,16 @@ def unit_vector(vector: Column) -> Column:
 
     @F.arrow_udf(floats)
     def scale(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in vectors:
-            row = np.asarray(v.as_py() or [], dtype=np.float64)
-            norm = np.linalg.norm(row) if row.size else 0.0
-            out.append((row / norm).astype(np.float32) if norm > 0 else None)
-        return pa.array(out, type=pa.list_(pa.float32()))
+        if isinstance(vectors, pa.ChunkedArray):
+            vectors = vectors.combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        norms = np.sqrt(np.bincount(row, weights=flat * flat, minlength=len(lengths)))
+        usable = norms > 0
+        kept = usable[row]
+        units = (flat[kept] / norms[row[kept]]).astype(np.float32)
+        starts = np.concatenate([[0], np.cumsum(np.where(usable, lengths, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(units), mask=pa.array(~usable))
 
     return scale(vector)

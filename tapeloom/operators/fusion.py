@@ -12,7 +12,8 @@ def add_z_scores(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
 
     They are null for one row or no spread.  Means and deviations are one row,
     so they are broadcast; a window without partition keys would move every
-    row into one task.
+    row into one task.  The statistics and the result both read the rows, so a
+    caller whose rows are costly to make writes them first.
     """
     stats = df.agg(
         *[F.avg(v).alias(f"_mean_{v}") for v in outputs], *[F.stddev_samp(v).alias(f"_sd_{v}") for v in outputs]

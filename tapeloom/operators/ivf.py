@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.vectors import matrix_of, unit_rows, unit_vector
 from .nearest import nearest
 
-# Centroids are trained on this many rows per cell, and at least this many in
-# all.  Every row of the table is filed; only the training reads a sample.
-TRAIN_PER_CELL = 50
-TRAIN_MIN = 10_000
-# Centroids go to every task, so their total size is checked.
+# Centroids go to every task, so their total size is checked before they are trained.
 CENTROID_BYTES = 256 * 2**20
-# Cell of vectors that have no direction; their score is null for any query.
+# Cell of vectors that have no direction.  Their cosine with any query is null;
+# their inner product is 0, so searches by inner product always read this cell.
 NO_CELL = -1
+# Scores of vectors against centroids that are held at once.
+SCORES_AT_ONCE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,31 +40,30 @@ class IvfIndex:
 
 
 def _dimensions(df: DataFrame, vector: str) -> int:
-    """Length of the table's vectors: the one of any non-empty vector."""
-    row = df.where(F.size(vector) > 0).select(F.size(vector)).first()
-    if row is None:
+    """The one length of the table's non-empty vectors."""
+    size = F.when(F.size(vector) > 0, F.size(vector))
+    low, high = df.agg(F.min(size), F.max(size)).first()
+    if low is None:
         raise ValueError("there are no vectors to index")
-    return row[0]
+    if low != high:
+        raise ValueError(f"an index holds vectors of one length; these have {low} to {high} numbers")
+    return low
 
 
 def train_centroids(
     df: DataFrame, cells: int, vector: str = "embedding", seed: int = 7, iterations: int = 10
 ) -> np.ndarray:
-    """Cluster centers of a uniform sample, by direction."""
-    rows = df.select(vector).where(F.size(vector) == _dimensions(df, vector))
-    total = df.count()
-    wanted = max(TRAIN_MIN, TRAIN_PER_CELL * cells)
-    if total > wanted:
-        rows = rows.sample(fraction=min(1.0, 1.2 * wanted / total), seed=seed)
-    rows = rows.select(unit_vector(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
+    """Cluster centers of all rows, by direction.  An iteration is one scan with sums per task."""
+    dims = _dimensions(df, vector)
+    if cells * dims * 8 > CENTROID_BYTES:
+        raise ValueError("centroids would be too large to send to every task; use fewer cells")
+    rows = df.select(unit_vector(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
     features = rows.select(array_to_vector("v").alias("features")).persist()
     try:
         means = KMeans(k=cells, maxIter=iterations, seed=seed, distanceMeasure="cosine", initSteps=1)
         centers = np.array(means.fit(features).clusterCenters())
     finally:
         features.unpersist()
-    if centers.nbytes > CENTROID_BYTES:
-        raise ValueError("centroids are too large to send to every task; use fewer cells")
     return centers
 
 
@@ -77,7 +75,10 @@ def nearest_cell(vector: Column, centers: np.ndarray) -> Column:
     def assign(vectors: pa.Array) -> pa.Array:
         usable, rows = matrix_of(vectors, units.shape[1])
         out = np.full(len(usable), NO_CELL, dtype=np.int32)
-        best = np.argmax(np.nan_to_num(rows @ units.T, nan=-np.inf), axis=1) if len(rows) else np.array([], int)
+        best, step = np.zeros(len(rows), np.int32), max(1, SCORES_AT_ONCE // len(units))
+        for low in range(0, len(rows), step):
+            scores = rows[low : low + step] @ units.T
+            best[low : low + step] = np.argmax(np.where(np.isnan(scores), -np.inf, scores), axis=1)
         out[usable] = np.where(np.linalg.norm(rows, axis=1) > 0, best, NO_CELL)
         return pa.array(out)
 
@@ -93,17 +94,22 @@ def build(
     seed: int = 7,
     iterations: int = 10,
     training: DataFrame | None = None,
+    centers: np.ndarray | None = None,
 ) -> IvfIndex:
     """Write an index of ``df`` below ``path``, which must not exist yet.
 
-    Centroids come from a sample of the whole table, or of ``training``, such
-    as a few of its files, which saves reading a very large table twice.
+    Centroids are given as ``centers``, or trained on all rows of the table, or on
+    all rows of ``training``, such as a few of its files, which saves reading a very
+    large table several times.
 
     ``rebalance`` brings a cell's rows together and lets adaptive execution
     split a cell that holds much of the table.
     """
     spark = df.sparkSession
-    centers = train_centroids(df if training is None else training, cells, vector, seed, iterations)
+    if centers is None:
+        centers = train_centroids(df if training is None else training, cells, vector, seed, iterations)
+    if _dimensions(df, vector) != centers.shape[1]:
+        raise ValueError("the vectors and the centers differ in length")
     filed = df.withColumn("cell", nearest_cell(F.col(vector), centers))
     filed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
@@ -133,6 +139,8 @@ def search(
     as many probes as cells the result is the exact one.
     """
     chosen = cells_to_probe(index.centroids(spark), query, probes)
+    if index.metric == "inner_product":
+        chosen.append(NO_CELL)
     scan = index.vectors(spark).where(F.col("cell").isin(*chosen)).drop("cell")
     scan = scan.select(*columns, vector) if columns else scan
     return nearest(scan, query, n, vector, id_col, index.metric)

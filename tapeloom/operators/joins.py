@@ -79,14 +79,24 @@ def restrict(df: DataFrame, keys: Keys, on: str) -> DataFrame:
     return df.join(df.sparkSession.createDataFrame(pa.table({on: unique})), on, "left_semi")
 
 
-def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
-    """A work list: the ``n`` smallest distinct keys."""
-    return keys_of(df, key).orderBy(key).limit(n)
+def first_keys(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """A work list: the ``n`` smallest distinct keys, or all of them."""
+    keys = keys_of(df, key)
+    return keys if n is None else keys.orderBy(key).limit(n)
 
 
-def for_first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
-    """All rows of the ``n`` smallest keys."""
-    return present(df, first_keys(df, key, n), key)
+def for_first_absent(
+    df: DataFrame, known: DataFrame, on: str, known_on: str | None = None, n: int | None = None
+) -> DataFrame:
+    """All rows of the ``n`` smallest keys that are not known, or of all such keys.
+
+    The keys are chosen from the key columns alone, and the rows meet them in one
+    semi join, so adaptive execution can split a key that holds many rows.
+    """
+    if n is None:
+        return absent(df, known, on, known_on)
+    waiting = first_keys(absent(df.select(on), known, on, known_on), on, n)
+    return present(df, waiting, on)
 
 
 def expand_range(df: DataFrame, start: str, end: str, out: str, keep_empty: bool = False) -> DataFrame:

@@ -123,23 +123,18 @@ def vocabulary(found: DataFrame) -> DataFrame:
     return found.select("term").distinct().withColumn("stem", stem(F.col("term")))
 
 
-# A query word may stand for this many words of the texts.
-MAX_VARIANTS = 1000
-
-
 def stem_variants(known: DataFrame, query: str) -> dict[str, list[str]]:
     """For each word of the query, the known words with the same stem.
 
     ``known`` is a vocabulary.  The texts keep their words as they are; the
-    query is widened instead, so stems cost nothing while texts are read.
+    query is widened instead, so stems cost nothing while texts are read.  The
+    list holds the spellings of the query's few stems, however many those are.
     """
     asked = sorted({w for p in query_words(query) for w in p} | {w for _, w in phrase_words(query)})
     stems = {w: english_stem(w) for w in asked}
     if not asked:
         return {}
-    rows = known.where(F.col("stem").isin(*set(stems.values()))).limit(MAX_VARIANTS * len(asked) + 1).collect()
-    if len(rows) > MAX_VARIANTS * len(asked):
-        raise ValueError("too many words share the stems of the query")
+    rows = known.where(F.col("stem").isin(*set(stems.values()))).select("term", "stem").distinct().collect()
     return {w: sorted(r["term"] for r in rows if r["stem"] == s) for w, s in stems.items()}
 
 

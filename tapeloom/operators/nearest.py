@@ -14,6 +14,10 @@ from .rows import top_k, top_per_group
 
 # Query vectors up to this size go to every task; more are handled block-wise.
 QUERY_BYTES = 64 * 2**20
+# Scores of vectors against queries that are held at once.
+SCORES_AT_ONCE = 1 << 22
+# Task winners of one query are merged in so many groups before they meet.
+MERGE_GROUPS = 64
 # Query and vector rows per cell of the block-wise grid.
 GRID_QUERIES = 4096
 GRID_VECTORS = 20_000
@@ -100,34 +104,63 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
 
 
 class _Best:
-    """The best rows of every query among the vectors seen so far."""
+    """The best rows of every query among the vectors seen so far.
+
+    Queries are taken in tiles, so that a block of scores stays within
+    ``SCORES_AT_ONCE`` however many queries or rows there are.
+    """
 
     def __init__(self, query_ids: pa.Array, queries: np.ndarray, n: int, names: list[str]):
         self.query_ids, self.queries, self.n, self.names = query_ids, queries, n, names
-        self.rows: list[pa.Table | None] = [None] * len(query_ids)
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.found: list[pa.Table] = []
+        self.waiting = 0
 
     def add(self, ids: pa.Array, vectors: pa.Array) -> None:
         usable, matrix = matrix_of(vectors, self.queries.shape[1])
-        kept = ids.filter(pa.array(usable))
-        scores = np.round(unit_rows(matrix) @ self.queries.T, SCORE_DECIMALS)
-        for q, best in enumerate(self.rows):
-            picked = contenders(scores[:, q], best, self.n)
-            if len(picked):
-                found = pa.table([kept.take(pa.array(picked)), pa.array(scores[picked, q])], self.names[1:])
-                self.rows[q] = first_rows(
-                    found if best is None else pa.concat_tables([best, found]), self.n, self.names[1]
-                )
+        if not len(matrix):
+            return
+        kept, units = ids.filter(pa.array(usable)), unit_rows(matrix)
+        tile = max(1, SCORES_AT_ONCE // len(units))
+        for low in range(0, len(self.queries), tile):
+            scores = np.round(units @ self.queries[low : low + tile].T, SCORE_DECIMALS)
+            floor = self.floor[low : low + tile]
+            if len(units) > self.n:
+                # The n-th best of this batch for each query; NaN is never among them.
+                known = np.where(np.isnan(scores), -np.inf, scores)
+                floor = np.maximum(floor, np.partition(known, -self.n, axis=0)[-self.n])
+            rows, queries = np.nonzero(scores >= floor)
+            if len(rows):
+                columns = [pa.array(queries + low), kept.take(pa.array(rows)), pa.array(scores[rows, queries])]
+                self.found.append(pa.table(columns, ["_q", *self.names[1:]]))
+                self.waiting += len(rows)
+                if self.waiting > max(1 << 16, 4 * self.n * len(self.queries)):
+                    self.prune()
+
+    def prune(self) -> None:
+        """Keep the best ``n`` of each query, equal scores by id."""
+        rows = pa.concat_tables(self.found)
+        keys = [("_q", "ascending"), (self.names[2], "descending"), (self.names[1], "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys))
+        query = rows["_q"].to_numpy()
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        last = nth == self.n - 1
+        self.floor[query[last]] = rows[self.names[2]].to_numpy()[last]
+        self.found = [rows.filter(pa.array(nth < self.n))]
+        self.waiting = self.found[0].num_rows
 
     def tables(self) -> Iterator[pa.Table]:
-        for q, best in enumerate(self.rows):
-            if best is not None:
-                yield best.add_column(0, self.names[0], self.query_ids.take(pa.array([q] * best.num_rows)))
+        if self.found:
+            self.prune()
+            rows = self.found[0]
+            yield rows.set_column(0, self.names[0], self.query_ids.take(rows["_q"].combine_chunks()))
 
 
 def _queries_by_length(ids: pa.Array, vectors: pa.Array, n: int, names: list[str]) -> list[_Best]:
-    """Unit query vectors, one matrix per vector length."""
+    """Unit query vectors, one matrix per vector length; an empty vector has no neighbours."""
     found = []
-    for dims in sorted({len(v) for v in vectors.to_pylist()}):
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    for dims in sorted(d for d in lengths if d):
         usable, matrix = matrix_of(vectors, dims)
         found.append(_Best(ids.filter(pa.array(usable)), unit_rows(matrix), n, names))
     return found
@@ -152,12 +185,13 @@ def nearest_for_queries(
     id_type = df.schema[id_col].dataType.simpleString()
     query_type = queries.schema[query_id].dataType.simpleString()
     layout = f"`{query_id}` {query_type}, `{id_col}` {id_type}, cos_sim double"
-    queries = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    queries = queries.select(query_id, query_vector).where(F.size(query_vector) > 0)
     names = [query_id, id_col, "cos_sim"]
-    n_queries, floats = queries.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.size(query_vector)), F.lit(0))
+    id_bytes = F.octet_length(F.col(query_id).cast("string"))
+    n_queries, size = queries.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(8 * F.size(query_vector) + F.coalesce(id_bytes, F.lit(0))), F.lit(0))
     ).first()
-    if floats * 8 <= query_bytes:
+    if size <= query_bytes:
         listed = queries.toArrow()
         ids, vectors = _whole(listed[query_id]), _whole(listed[query_vector])
 
@@ -173,7 +207,10 @@ def nearest_for_queries(
         candidates = df.select(id_col, vector).mapInArrow(scan, layout)
     else:
         candidates = _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, layout)
-    return top_per_group(candidates, [query_id], by_similarity(id_col), n, rank="rn")
+    # A query's winners come from every task; groups of tasks are merged first.
+    merged = candidates.withColumn("_merge", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+    merged = top_per_group(merged, [query_id, "_merge"], by_similarity(id_col), n).drop("_merge")
+    return top_per_group(merged, [query_id], by_similarity(id_col), n, rank="rn")
 
 
 def _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, layout) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import to_scratch
 
 
 def _orders_by_inversions(n: int) -> list[int]:
@@ -74,14 +77,40 @@ def mean_by(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias(f"mean_{value}"))
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: Mapping[str, float]) -> DataFrame:
+    """Quantiles per group, interpolated between neighbours, as columns named by ``shares``.
+
+    Values are counted, dealt out by ranges of group and value, and numbered by
+    running counts inside each range plus the counts of the ranges before.  So
+    no task holds the values of a whole group, however few groups there are.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = to_scratch(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "quantiles")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_rows"))
+    parts = parts.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_total", F.sum("_rows").over(whole)).drop("_rows").alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*by, "_part")]
+    inside = Window.partitionBy(*by, "_part").orderBy(value)
+    numbered = dealt.withColumn("_upto", F.sum("_n").over(inside)).alias("a").join(parts, same)
+    end = F.col("a._upto") + F.col("b._shift")
+    start = end - F.col("a._n")
+    columns = []
+    for name, share in shares.items():
+        spot = (F.col("_total") - 1) * F.lit(share)
+        for side, place in (("low", F.floor(spot)), ("high", F.ceil(spot))):
+            here = (place >= start) & (place < end)
+            columns.append(F.max(F.when(here, F.col(f"a.{value}"))).alias(f"_{side}_{name}"))
+        columns.append(F.max(spot - F.floor(spot)).alias(f"_rest_{name}"))
+    picked = numbered.groupBy(*[F.col(f"a.{k}").alias(k) for k in by]).agg(*columns)
+    between = {
+        n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_rest_{n}") for n in shares
+    }
+    return picked.select(*by, *[c.alias(n) for n, c in between.items()])
+
+
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Minimum, quartiles and maximum per group."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.min(value).alias("lowest"), quartiles.alias("_q"), F.max(value).alias("highest")).select(
-        *by,
-        "lowest",
-        F.get("_q", F.lit(0)).alias("quartile_1"),
-        F.get("_q", F.lit(1)).alias("median"),
-        F.get("_q", F.lit(2)).alias("quartile_3"),
-        "highest",
-    )
+    names = {"lowest": 0.0, "quartile_1": 0.25, "median": 0.5, "quartile_3": 0.75, "highest": 1.0}
+    return quantiles(df, value, by, names)

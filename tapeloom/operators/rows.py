@@ -66,6 +66,19 @@ def before_known(df: DataFrame, known: DataFrame, key: str, position: str) -> Da
     )
 
 
+def dense_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Dense rank of ``value`` inside each group, largest first.
+
+    Only distinct pairs of key and value are ranked; rows then look their rank up,
+    so a group that holds most rows costs no more than its distinct values.
+    """
+    pairs = df.select(*keys, value).distinct()
+    window = Window.partitionBy(*keys).orderBy(F.col(value).desc())
+    ranked = pairs.withColumn(out, F.dense_rank().over(window)).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, value)]
+    return df.alias("a").join(ranked, same).select("a.*", f"b.{out}")
+
+
 # Groups above this many rows are numbered slice by slice.
 HOT_GROUP_ROWS = 2_000_000
 

@@ -78,10 +78,10 @@ def similar_chunks_for_urls(
     else:
         found = nearest.score(restrict(base, urls, "url"), tables.vector_of(query))
     text = restrict(tables.chunk_text, urls, "url").select("url", "id", "segment_start", "segment_end", "text")
-    ranked = top_per_group(
-        found.join(text, ["url", "id"]), ["url"], nearest.by_similarity(), n_per_url, rank="rn"
-    )
-    return nearest.scored(ranked)
+    # Chunks without a text are left out by their keys; texts are read for the winners only.
+    found = found.join(text.select("url", "id"), ["url", "id"], "left_semi")
+    best = top_per_group(found, ["url"], nearest.by_similarity(), n_per_url, rank="rn")
+    return nearest.scored(best).join(text, ["url", "id"])
 
 
 def similar_chunks_filtered(
@@ -126,13 +126,22 @@ def _with_text(tables: SearchTables, found: DataFrame, n: int) -> DataFrame:
     return with_spaced_text(chunks, segments).orderBy(*nearest.by_similarity())
 
 
+def _matching(ranked: DataFrame) -> DataFrame:
+    """Rows whose ``rank`` is above 0.
+
+    A plain filter would be pushed below the projection and work the rank out twice.
+    """
+    kept = F.explode(F.filter(F.array("rank"), lambda r: r > 0))
+    return ranked.select(*[c for c in ranked.columns if c != "rank"], kept.alias("rank"))
+
+
 _SEGMENT = ["url", "segment_id", "segment_seek", "segment_start", "segment_end"]
 
 
 def segment_hits(tables: SearchTables, query: str, filters: Filters = NO_FILTERS) -> DataFrame:
     """Every segment with a word of the query, with its text and ``rank``."""
     ranked = tables.transcripts.select(*_SEGMENT, "text", tables.word_rank(query).alias("rank"))
-    hits = ranked.where(F.col("rank") > 0)
+    hits = _matching(ranked)
     if filters.active():
         hits = present(hits, filters.apply(tables.metadata).select("url"), "url")
     return hits
@@ -169,7 +178,7 @@ def keyword_segments(
 def phrase_segments(tables: SearchTables, query: str, n: int = 10) -> DataFrame:
     """Segments that hold the query as a phrase, best first."""
     ranked = tables.transcripts.select(*_SEGMENT, tables.phrase_rank(query).alias("rank"))
-    best = top_k(ranked.where(F.col("rank") > 0), by_rank(), n)
+    best = top_k(_matching(ranked), by_rank(), n)
     return best.withColumnRenamed("segment_id", "id")
 
 

@@ -15,7 +15,7 @@ from ..functions import times, titles
 from ..functions.embed import Embedder, embed
 from ..functions.strings import blob_uri
 from ..operators.chunks import chunk_segments
-from ..operators.joins import absent, absent_null_aware, for_first_keys, first_keys, present
+from ..operators.joins import absent, absent_null_aware, first_keys, for_first_absent, present
 from ..operators.rows import before_known, keep_first, union_first_wins
 from ..schemas import TRANSCRIPTIONS, VIDEO_METADATA, conform
 from ..session import to_scratch
@@ -111,19 +111,19 @@ def new_segments(results: DataFrame, transcripts: DataFrame, clock: datetime | N
     return rows.select(*TRANSCRIPTIONS.fieldNames())
 
 
-def embedding_work_list(transcripts: DataFrame, embeddings: DataFrame, max_videos: int) -> DataFrame:
-    """All segments of at most ``max_videos`` urls that have no chunks yet."""
-    return for_first_keys(absent(transcripts, embeddings, "url", "video_url"), "url", max_videos)
+def embedding_work_list(transcripts: DataFrame, embeddings: DataFrame, max_videos: int | None = None) -> DataFrame:
+    """All segments of urls that have no chunks yet, of at most ``max_videos`` if given."""
+    return for_first_absent(transcripts, embeddings, "url", "video_url", max_videos)
 
 
 def embed_new(
     transcripts: DataFrame,
     embeddings: DataFrame,
     embedder: Embedder,
-    max_videos: int = 100,
+    max_videos: int | None = 100,
     sizes: Sequence[int] = (3,),
 ) -> DataFrame:
-    """Chunks with vectors for transcripts that have none yet."""
+    """Chunks with vectors for transcripts that have none yet; ``max_videos=None`` takes all."""
     chunks = chunk_segments(embedding_work_list(transcripts, embeddings, max_videos), sizes)
     return chunks.withColumn("embedding", embed(F.col("text"), embedder)).drop("text")
 
@@ -159,14 +159,16 @@ def transcripts_delta(
     minus = absent_null_aware if null_aware else absent
     # The transcripts are one side of the join below, so they need no test here.
     fresh = minus(present(metadata.select("id", "url"), embeddings, "url", "video_url"), served_metadata, "id")
+    # The two sets of urls are reduced to one first; segments then meet it in a single semi join.
+    waiting = absent(fresh.select("url"), served_transcripts, "url")
     rows = transcripts.select("url", "text", "segment_id", "segment_seek", "segment_start", "segment_end")
-    return present(absent(rows, served_transcripts, "url"), fresh, "url")
+    return present(rows, waiting, "url")
 
 
 def embeddings_delta(
-    embeddings: DataFrame, served_embeddings: DataFrame, max_videos: int, null_aware: bool = False
+    embeddings: DataFrame, served_embeddings: DataFrame, max_videos: int | None, null_aware: bool = False
 ) -> DataFrame:
-    """Chunk rows, each once, of at most ``max_videos`` urls that are not served yet."""
+    """Chunk rows, each once, of urls that are not served yet, of at most ``max_videos`` if given."""
     named = embeddings.withColumnRenamed("video_url", "url")
     minus = absent_null_aware if null_aware else absent
     waiting = first_keys(minus(named.select("url"), served_embeddings, "url"), "url", max_videos)

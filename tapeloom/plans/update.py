@@ -19,9 +19,9 @@ from .chunk_search import SearchTables
 
 @dataclass(frozen=True)
 class UpdateSettings:
-    """Bounds of one update; ``cells=None`` builds no index."""
+    """Bounds of one update; ``max_videos=None`` takes all, ``cells=None`` builds no index."""
 
-    max_videos: int = 100
+    max_videos: int | None = 100
     cells: int | None = None
     index_folder: str | None = None
     recreate_tables: bool = False
@@ -61,8 +61,10 @@ def update_serving(
         "embeddings": jobs.with_vectors(fresh, vectors),
     }
     fixed = {name: to_scratch(df, name) for name, df in deltas.items()}
-    for name, df in fixed.items():
-        sinks.append(df, f"{database}.{name}")
+    # What counts as served follows from the metadata, so it is appended last: a run that stops before
+    # leaves its videos to the next one, which skips the rows that are there already.
+    for name in ("embeddings", "transcriptions", "video_metadata"):
+        sinks.append(fixed[name], f"{database}.{name}")
 
     served = _served(spark, database)
     texts = chunk_to_text(served["embeddings"], served["transcriptions"])

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,7 +16,7 @@ from ..operators.fusion import add_z_scores, first_known
 from ..operators.joins import restrict
 from ..operators.nearest import by_similarity
 from ..operators.rows import top_k, top_per_group
-from ..session import fixed, local, pin
+from ..session import fixed, settled, to_scratch
 from .chunk_search import (
     NO_FILTERS,
     SearchTables,
@@ -85,7 +84,7 @@ class _Winners:
     """Best videos with scores and metadata, and the chunks or segments they won by."""
 
     videos: DataFrame
-    urls: list[str]
+    urls: Urls
     found: DataFrame
 
 
@@ -99,17 +98,15 @@ def _neural_winners(
     min_chunks: int = 2,
     screen: int | None = 5000,
 ) -> _Winners:
-    spark = tables.embeddings.sparkSession
     similar = similar_chunks_filtered(tables, query, n_chunks_to_consider, screen, filters)
     candidates, _ = fixed(similar, n_chunks_to_consider, "url")
-    rows = pin(neural_ranking(candidates, n_chunks_per_video, min_chunks, n_videos))
-    urls = rows.column("url").to_pylist()
-    scores = local(spark, rows).select(
+    rows, urls = settled(neural_ranking(candidates, n_chunks_per_video, min_chunks, n_videos), n_videos, "url")
+    scores = rows.select(
         "url",
         F.col("n_similar_chunks").alias("n_segment_matches"),
         F.col("weighted_z_score").alias("neural_search_score"),
     )
-    videos = restrict(tables.metadata, urls, "url").join(F.broadcast(scores), "url")
+    videos = restrict(tables.metadata, urls, "url").join(scores, "url")
     return _Winners(
         add_z_scores(videos, {"neural_search_score": "neural_search_score_z_score"}), urls, candidates
     )
@@ -149,32 +146,32 @@ def keyword_group_scores(hits: DataFrame) -> DataFrame:
     stats = hits.groupBy("url").agg(
         F.median("rank").alias("median_rank"), F.avg("rank").alias("mean_rank"), F.count("rank").alias("n_results")
     )
-    scored = stats.withColumn("keyword_search_score", F.col("median_rank"))
+    # One row per video, written once: the scores read it for their mean and for themselves.
+    scored = to_scratch(stats.withColumn("keyword_search_score", F.col("median_rank")), "keyword-groups")
     return add_z_scores(scored, {"keyword_search_score": "keyword_search_score_z_score"})
 
 
 def _keyword_winners(
     tables: SearchTables, query: str, filters: Filters, n_results_to_consider: int | None = None, n_videos: int = 5
 ) -> _Winners:
-    spark = tables.transcripts.sparkSession
     hits = segment_hits(tables, query, filters)
     if n_results_to_consider is not None:
         hits, _ = fixed(top_k(hits, by_rank(), n_results_to_consider), n_results_to_consider, "url")
-    rows = pin(top_k(keyword_group_scores(hits), _best_first("keyword_search_score"), n_videos))
-    urls = rows.column("url").to_pylist()
-    scores = local(spark, rows).select(
+    best = top_k(keyword_group_scores(hits), _best_first("keyword_search_score"), n_videos)
+    rows, urls = settled(best, n_videos, "url")
+    scores = rows.select(
         "url",
         F.col("n_results").alias("n_segment_matches"),
         "keyword_search_score",
         "keyword_search_score_z_score",
     )
-    found = pin(_numbered(restrict(tables.metadata, urls, "url").join(F.broadcast(scores), "url"), _best_first("keyword_search_score")))
-    videos = local(spark, found)
-    if found.num_rows == 1:
+    found = _numbered(restrict(tables.metadata, urls, "url").join(scores, "url"), _best_first("keyword_search_score"))
+    videos, urls = settled(found, n_videos, "url")
+    if isinstance(urls, list) and len(urls) == 1:
         videos = videos.withColumns(
             {"keyword_search_score": F.lit(1.0), "keyword_search_score_z_score": F.lit(0.5)}
         )
-    return _Winners(videos, found.column("url").to_pylist(), hits)
+    return _Winners(videos, urls, hits)
 
 
 def keyword_search(
@@ -280,9 +277,9 @@ def hybrid_search(
     spark = tables.transcripts.sparkSession
     side = query if vector is None else vector
 
-    def by_vector() -> tuple[_Winners, pa.Table]:
+    def by_vector() -> tuple[_Winners, DataFrame]:
         won = _neural_winners(tables, side, filters, n_videos=max_videos_per_method, screen=screen)
-        return won, pin(_numbered(won.videos, _best_first("neural_search_score")))
+        return won, settled(_numbered(won.videos, _best_first("neural_search_score")), max_videos_per_method, "url")[0]
 
     def by_words() -> _Winners:
         return _keyword_winners(tables, query, filters, n_videos=max_videos_per_method)
@@ -292,13 +289,12 @@ def hybrid_search(
         first = pool.submit(inheritable_thread_target(spark)(by_vector))
         second = pool.submit(inheritable_thread_target(spark)(by_words))
         (neural, neural_rows), keyword = first.result(), second.result()
-    if not keyword.urls:
+    if isinstance(keyword.urls, list) and not keyword.urls:
         return _with_chunks(tables, neural, 3)
-    merged = fuse_videos(local(spark, neural_rows), keyword.videos, neural_weight, keyword_weight, max_results)
-    fused_rows = pin(merged)
-    urls = fused_rows.column("url").to_pylist()
+    merged = fuse_videos(neural_rows, keyword.videos, neural_weight, keyword_weight, max_results)
+    fused_rows, urls = settled(merged, max_results, "url")
     lists = rerank_chunks_for_urls(tables, query, urls, "hybrid", 3, vector=vector)
-    return local(spark, fused_rows).join(lists, "url", "left").orderBy("position")
+    return fused_rows.join(lists, "url", "left").orderBy("position")
 
 
 @dataclass(frozen=True)

@@ -84,6 +84,12 @@ def local(spark: SparkSession, rows: pa.Table) -> DataFrame:
     return spark.createDataFrame(rows, layout).coalesce(1)
 
 
+def settled(df: DataFrame, bound: int, key: str) -> tuple[DataFrame, list | DataFrame]:
+    """As ``fixed``, with the keys as a list or, above the bound for lists, as a frame."""
+    frame, keys = fixed(df, bound, key)
+    return frame, frame.select(key) if keys is None else keys
+
+
 def fixed(df: DataFrame, bound: int, key: str) -> tuple[DataFrame, list | None]:
     """A frame of at most ``bound`` rows, evaluated once, and its keys.
 

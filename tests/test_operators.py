@@ -88,8 +88,20 @@ def test_restrict(spark):
 
 
 def test_work_lists_take_whole_groups(spark):
-    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("c", 4)], "url string, n int")
-    assert sorted(r.n for r in joins.for_first_keys(df, "url", 2).collect()) == [1, 2, 3]
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("c", 4), ("d", 5)], "url string, n int")
+    known = spark.createDataFrame([("d",)], "video_url string")
+    for n, want in ((2, [1, 2, 3]), (9, [1, 2, 3, 4]), (None, [1, 2, 3, 4])):
+        found = joins.for_first_absent(df, known, "url", "video_url", n)
+        assert sorted(r.n for r in found.collect()) == want
+
+
+def test_long_key_lists_give_the_same_rows(spark, monkeypatch):
+    df = spark.range(200).selectExpr("concat('k', id) AS k")
+    want = sorted(r.k for r in joins.restrict(df, joins.short_list(df.limit(50)), "k").collect())
+    monkeypatch.setattr(joins, "LISTED_KEYS", 10)
+    keys = joins.short_list(df.limit(50))
+    assert not isinstance(keys, list)
+    assert sorted(r.k for r in joins.restrict(df, keys, "k").collect()) == want
 
 
 def test_interval_join_of_a_hot_url(spark):
