@@ -184,5 +184,6 @@ def mixed_rows(
     cuts = found.select(F.col("source").alias("_m_source"), F.col("passes").alias("_m_passes"), F.col("limit").alias("_m_limit"))
     copies = F.col("_m_passes") + (F.col("_m_hash") < F.col("_m_limit")).cast("long")
     joined = sized.join(cuts, F.col(source_col).eqNullSafe(F.col("_m_source")))
-    each = joined.withColumn("_m_no", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    # The filter is on what the generator puts out, so it stays above it and repeats no hashing below.
+    each = joined.withColumn("_m_no", F.explode_outer(F.array_repeat(F.lit(1), copies.cast("int")))).where("_m_no = 1")
     return each.select(*[F.col(f"`{c}`") for c in docs.columns])

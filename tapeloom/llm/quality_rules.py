@@ -177,7 +177,9 @@ def with_verdict(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.round("_q_d_chars", 4).alias("chars_distance"),
         F.round("_q_d_bins", 4).alias("common_distance"),
     )
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("_q_result"))
+    # A filter on the result must not be pushed through the projections below: it would repeat their
+    # expressions many times over.  It stays above a generator whose output it reads.
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.array(result)).alias("_q_result"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -188,7 +190,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are kept, with all their columns."""
-    judged = with_verdict(docs, text_col, lang_col)
-    # A plain filter would be pushed through the projections below and repeat their expressions in itself.
-    kept = F.filter(F.array("_q_result"), lambda r: r["kept"])
-    return judged.withColumn("_q_kept", F.explode(kept)).drop("_q_result", "_q_kept")
+    return with_verdict(docs, text_col, lang_col).where("_q_result.kept").drop("_q_result")
