@@ -129,10 +129,12 @@ def _with_text(tables: SearchTables, found: DataFrame, n: int) -> DataFrame:
 def _matching(ranked: DataFrame) -> DataFrame:
     """Rows whose ``rank`` is above 0.
 
-    A plain filter would be pushed below the projection and work the rank out twice.
+    A plain filter would be pushed below the projection and work the rank out twice; one on what a generator
+    puts out stays above it.
     """
-    kept = F.explode(F.filter(F.array("rank"), lambda r: r > 0))
-    return ranked.select(*[c for c in ranked.columns if c != "rank"], kept.alias("rank"))
+    kept = F.explode_outer(F.filter(F.array("rank"), lambda r: r > 0))
+    rest = [c for c in ranked.columns if c != "rank"]
+    return ranked.select(*rest, kept.alias("rank")).where(F.col("rank").isNotNull())
 
 
 _SEGMENT = ["url", "segment_id", "segment_seek", "segment_start", "segment_end"]
