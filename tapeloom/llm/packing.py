@@ -39,8 +39,9 @@ from .common import arrow
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_UNITS = 400_000
+CACHED_UNITS = 1_000_000  # about 200 MB
 CACHED_LENGTH = 64
+JOINED_UNITS = 4096
 GROUP_CHARS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,7 +52,8 @@ class Tokens:
     The tokenizer's own first step never joins what a single blank separates, so
     a unit's ids do not depend on its neighbours.  The exception is a run of white
     space that holds a blank before its last character; such texts are given to the
-    tokenizer whole.  So are the units that the cache lacks.
+    tokenizer whole.  Units that the cache lacks are given to it many at a time, as
+    one text, and told apart by the ids that start with a blank.
     """
 
     _across = re.compile(r"\s (?:\s|\Z)")
@@ -63,8 +65,10 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.starts = np.zeros(self.library.get_vocab_size() + 1, bool)
+        for token, number in self.library.get_vocab().items():
+            self.starts[number] = token.startswith("\u0120")  # the byte-level form of a blank
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -72,39 +76,48 @@ class Tokens:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that follow a blank."""
+        found: dict[str, bytes] = {}
+        plain = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
+        for low in range(0, len(plain), JOINED_UNITS):
+            part = plain[low : low + JOINED_UNITS]
+            ids = self._encode(" " + " ".join(part))
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(cuts) != len(part):
+                continue
+            raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+            found.update(zip(part, [raw[a:b] for a, b in zip((4 * cuts).tolist(), ends)]))
+        for unit in units:
+            if unit not in found:
+                found[unit] = self._encode(" " + unit).tobytes()
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        units: list[tuple[int, list[str]]] = []
-        lacking: set[str] = set()
+        if len(self.known) > CACHED_UNITS:
+            self.known.clear()
+        get, open_texts, lacking = self.known.get, [], set()
         for i, text in enumerate(texts):
             if self._across.search(text):
-                out[i] = self._encode([text])[0]
+                out[i] = self._encode(text).tobytes()
+                continue
+            units = text.split(" ")
+            first = self._encode(units[0]).tobytes()
+            found = list(map(get, units[1:]))
+            if None in found:
+                lacking.update([u for u, ids in zip(units[1:], found) if ids is None])
+                open_texts.append((i, first, units, found))
             else:
-                parts = text.split(" ")
-                units.append((i, parts))
-                lacking.update(parts[1:])
-        lacking -= self.later.keys()
-        if len(self.later) + len(lacking) > CACHED_UNITS:
-            self.later.clear()
-            lacking = {u for _, parts in units for u in parts[1:]}
-        new = sorted(lacking)
-        extra: dict[str, bytes] = {}
-        for unit, ids in zip(new, self._encode([" " + u for u in new])):
-            (self.later if len(unit) <= CACHED_LENGTH else extra)[unit] = ids
-        lead = sorted({parts[0] for _, parts in units})
-        leads = dict(zip(lead, self._encode(lead)))
-        later = self.later
-        for i, parts in units:
-            rest = parts[1:]
-            if extra:
-                out[i] = leads[parts[0]] + b"".join([extra[u] if u in extra else later[u] for u in rest])
-            else:
-                out[i] = leads[parts[0]] + b"".join([later[u] for u in rest])
+                out[i] = first + b"".join(found)
+        new = self._units(sorted(lacking))
+        self.known.update((u, ids) for u, ids in new.items() if len(u) <= CACHED_LENGTH)
+        for i, first, units, found in open_texts:
+            out[i] = first + b"".join([new[u] if ids is None else ids for u, ids in zip(units[1:], found)])
         return out
 
 
