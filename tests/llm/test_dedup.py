@@ -29,7 +29,7 @@ def test_exact_against_brute_force(make, rows, limits):
 
 
 def test_a_frozen_table_knows_old_contents_and_takes_no_new_ones():
-    table = exact_dedup.ContentTable(max_bytes=250)
+    table = exact_dedup.ContentTable(max_bytes=300)
     assert table.find(1, b"a" * 60) == (0, True)
     assert table.find(1 + 1024, b"b" * 60) == (1, True)  # same slot, other content
     assert table.find(1, b"c") == (-1, False)
