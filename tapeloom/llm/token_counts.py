@@ -11,6 +11,7 @@ UTF-8 bytes.
 
 No piece holds a word mark behind another character, so the best path of a text
 is that of its words, and counts of words are kept in a bounded cache.
+A text that holds the mark itself is taken whole.
 
 Defined results: a null or empty text has 0 tokens.  Repeated rows are counted
 each; a null id stays null; an empty table gives an empty result.  Only id and
@@ -76,7 +77,7 @@ class Unigram:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.splits:
+        if not self.splits or MARK in text:
             return self.best(MARK + text.replace(" ", MARK))
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = [w[1:] for w in re.findall(r" *[^ ]+| +", " " + text)]
