@@ -45,6 +45,13 @@ def arrow(df: DataFrame, task, schema: StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches, for tasks that turn rows into Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def empty_as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null becomes empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import to_scratch
-from .common import arrow, empty_as_bytes
+from .common import arrow, empty_as_bytes, slices
 
 BUCKET_BYTES = 16 << 20  # aim for the contents of a bucket
-TABLE_BYTES = 48 << 20  # a table takes no new content beyond this
+TABLE_BYTES = 32 << 20  # a table takes no new content beyond this
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -120,12 +120,12 @@ def _local_groups(docs: DataFrame, id_col: str, text_col: str, table_bytes: int)
                 }
                 for name, value in values.items():
                     out[name].append(value)
-                if len(out["task"]) == 1000:
+                if len(out["task"]) == 500:
                     yield out
                     out = {f.name: [] for f in schema}
             yield out
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(id_at).to_pylist()
             texts = empty_as_bytes(batch.column(text_at))
             out = {f.name: [None] * len(ids) for f in schema}
@@ -171,10 +171,9 @@ def _merge(reps: DataFrame, text_field: str, table_bytes: int, carry: bool) -> D
 
     def task(batches):
         table, groups, members, shas, kept = ContentTable(table_bytes), [], [], [], {}
-        for batch in batches:
-            rows = batch.to_pylist()
+        for batch in slices(batches):
             spilled = []
-            for row in rows:
+            for row in batch.to_pylist():
                 content = (row["whole"][text_field] or "").encode().translate(None, BLANKS)
                 number, new = table.find(row["hash"] + (1 << 63), content)
                 if number < 0:
