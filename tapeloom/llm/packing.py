@@ -39,7 +39,7 @@ from .common import arrow
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_UNITS = 1_000_000  # about 200 MB
+CACHED_UNITS = 1_500_000  # about 300 MB
 CACHED_LENGTH = 64
 JOINED_UNITS = 4096
 GROUP_CHARS = 1 << 20
@@ -66,6 +66,7 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.leads: dict[str, bytes] = {}  # of units that start a text
         self.starts = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, number in self.library.get_vocab().items():
             self.starts[number] = token.startswith("\u0120")  # the byte-level form of a blank
@@ -107,17 +108,24 @@ class Tokens:
                 out[i] = self._encode(text).tobytes()
                 continue
             units = text.split(" ")
-            first = self._encode(units[0]).tobytes()
+            first = self.leads.get(units[0])
+            if first is None:
+                first = self._encode(units[0]).tobytes()
+                if len(units[0]) <= CACHED_LENGTH and len(self.leads) < CACHED_UNITS // 10:
+                    self.leads[units[0]] = first
             found = list(map(get, units[1:]))
             if None in found:
-                lacking.update([u for u, ids in zip(units[1:], found) if ids is None])
-                open_texts.append((i, first, units, found))
+                holes = [k for k, ids in enumerate(found) if ids is None]
+                lacking.update([units[k + 1] for k in holes])
+                open_texts.append((i, first, units, found, holes))
             else:
                 out[i] = first + b"".join(found)
         new = self._units(sorted(lacking))
         self.known.update((u, ids) for u, ids in new.items() if len(u) <= CACHED_LENGTH)
-        for i, first, units, found in open_texts:
-            out[i] = first + b"".join([new[u] if ids is None else ids for u, ids in zip(units[1:], found)])
+        for i, first, units, found, holes in open_texts:
+            for k in holes:
+                found[k] = new[units[k + 1]]
+            out[i] = first + b"".join(found)
         return out
 
 
@@ -152,8 +160,8 @@ def pieces(
                     for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         own = ids[4 * a : 4 * b]
                         values = (key, number, a, b - a, zlib.crc32(own), me, counts[b - a])
-                        for name, value in zip(out, values):
-                            out[name].append(value)
+                        for column, value in zip(out.values(), values):
+                            column.append(value)
                         if with_ids:
                             out["ids"].append(np.frombuffer(own, "<u4").astype(np.int32))
                         counts[b - a] += 1
