@@ -187,10 +187,8 @@ def ivf_all_cells(spark, sf_dir):
 
 def _quality(spark, sf_dir, lists, probes, screens):
     tables = corpus.search_tables(spark, sf_dir)
-    queries = {
-        f"label {r['label']}": [float(x) for x in r["center"]]
-        for r in label_centers(spark, sf_dir).orderBy("label").limit(2).collect()
-    }
+    name = F.concat(F.lit("label "), F.col("label").cast("string")).alias("query")
+    queries = label_centers(spark, sf_dir).select(name, F.col("center").alias("vector"))
     return evaluation.sweep(
         tables, queries, scratch_dir(spark, "sweep"), lists=lists, probes=probes, screens=screens
     )

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.vectors import matrix_of, unit_rows, unit_vector
-from .nearest import nearest
+from .nearest import merged_best, nearest, nearest_for_queries, queries_by_length
 
 # Centroids go to every task, so their total size is checked before they are trained.
 CENTROID_BYTES = 256 * 2**20
@@ -144,3 +144,50 @@ def search(
     scan = index.vectors(spark).where(F.col("cell").isin(*chosen)).drop("cell")
     scan = scan.select(*columns, vector) if columns else scan
     return nearest(scan, query, n, vector, id_col, index.metric)
+
+
+def search_for_queries(
+    spark: SparkSession,
+    index: IvfIndex,
+    queries: DataFrame,
+    n: int,
+    probes: int = 50,
+    vector: str = "embedding",
+    id_col: str = "id",
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+) -> DataFrame:
+    """``search`` for each query in one scan: query id, id, ``cos_sim``, ``rn``.
+
+    The queries and their cells go to every task, and a cell's vectors meet only
+    the queries that probe it.
+    """
+    near = nearest_for_queries(index.centroids(spark), queries, probes, "center", "cell", query_id, query_vector)
+    listed = queries.select(query_id, query_vector).join(near.select(query_id, "cell"), query_id).toArrow()
+    listed = listed.combine_chunks()
+    cells = listed["cell"].to_numpy()
+    by_cell = {int(c): listed.filter(pa.array(cells == c)) for c in np.unique(cells)}
+    if index.metric == "inner_product" and len(cells):
+        first = np.unique(np.array(listed[query_id].to_pylist(), object), return_index=True)[1]
+        by_cell[NO_CELL] = listed.take(pa.array(first))
+    names = [query_id, id_col, "cos_sim"]
+    scan = index.vectors(spark).where(F.col("cell").isin(*by_cell)).select("cell", id_col, vector)
+    types = [queries.schema[query_id].dataType, scan.schema[id_col].dataType, T.DoubleType()]
+    layout = T.StructType([T.StructField(c, t) for c, t in zip(names, types)])
+
+    def task(batches):
+        sets = {}
+        for batch in batches:
+            here = batch.column(0).to_numpy()
+            for c in np.unique(here):
+                if c not in sets:
+                    own = by_cell[int(c)].combine_chunks().to_batches()[0]
+                    sets[c] = queries_by_length(own[query_id], own[query_vector], n, names, index.metric)
+                rows = batch.filter(pa.array(here == c))
+                for best in sets[c]:
+                    best.add(rows.column(1), rows.column(2))
+        for best in (b for found in sets.values() for b in found):
+            for rows in best.tables():
+                yield from rows.to_batches()
+
+    return merged_best(scan.mapInArrow(task, layout), query_id, id_col, n)

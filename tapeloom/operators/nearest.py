@@ -110,8 +110,9 @@ class _Best:
     ``SCORES_AT_ONCE`` however many queries or rows there are.
     """
 
-    def __init__(self, query_ids: pa.Array, queries: np.ndarray, n: int, names: list[str]):
+    def __init__(self, query_ids: pa.Array, queries: np.ndarray, n: int, names: list[str], metric: str = "cosine"):
         self.query_ids, self.queries, self.n, self.names = query_ids, queries, n, names
+        self.scaled = unit_rows if metric == "cosine" else np.asarray
         self.floor = np.full(len(query_ids), -np.inf)
         self.found: list[pa.Table] = []
         self.waiting = 0
@@ -120,7 +121,7 @@ class _Best:
         usable, matrix = matrix_of(vectors, self.queries.shape[1])
         if not len(matrix):
             return
-        kept, units = ids.filter(pa.array(usable)), unit_rows(matrix)
+        kept, units = ids.filter(pa.array(usable)), self.scaled(matrix)
         tile = max(1, SCORES_AT_ONCE // len(units))
         for low in range(0, len(self.queries), tile):
             scores = np.round(units @ self.queries[low : low + tile].T, SCORE_DECIMALS)
@@ -156,13 +157,16 @@ class _Best:
             yield rows.set_column(0, self.names[0], self.query_ids.take(rows["_q"].combine_chunks()))
 
 
-def _queries_by_length(ids: pa.Array, vectors: pa.Array, n: int, names: list[str]) -> list[_Best]:
-    """Unit query vectors, one matrix per vector length; an empty vector has no neighbours."""
+def queries_by_length(
+    ids: pa.Array, vectors: pa.Array, n: int, names: list[str], metric: str = "cosine"
+) -> list[_Best]:
+    """Query vectors, one matrix per vector length; an empty vector has no neighbours."""
     found = []
     lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
     for dims in sorted(d for d in lengths if d):
         usable, matrix = matrix_of(vectors, dims)
-        found.append(_Best(ids.filter(pa.array(usable)), unit_rows(matrix), n, names))
+        scaled = unit_rows(matrix) if metric == "cosine" else matrix
+        found.append(_Best(ids.filter(pa.array(usable)), scaled, n, names, metric))
     return found
 
 
@@ -196,7 +200,7 @@ def nearest_for_queries(
         ids, vectors = _whole(listed[query_id]), _whole(listed[query_vector])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sets = _queries_by_length(ids, vectors, n, names)
+            sets = queries_by_length(ids, vectors, n, names)
             for batch in batches:
                 for best in sets:
                     best.add(batch.column(0), batch.column(1))
@@ -207,7 +211,11 @@ def nearest_for_queries(
         candidates = df.select(id_col, vector).mapInArrow(scan, layout)
     else:
         candidates = _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, layout)
-    # A query's winners come from every task; groups of tasks are merged first.
+    return merged_best(candidates, query_id, id_col, n)
+
+
+def merged_best(candidates: DataFrame, query_id: str, id_col: str, n: int) -> DataFrame:
+    """The ``n`` best of each query among the winners of every task; groups of tasks are merged first."""
     merged = candidates.withColumn("_merge", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
     merged = top_per_group(merged, [query_id, "_merge"], by_similarity(id_col), n).drop("_merge")
     return top_per_group(merged, [query_id], by_similarity(id_col), n, rank="rn")
@@ -232,7 +240,7 @@ def _grid(df, queries, n, vector, id_col, query_id, query_vector, n_queries, lay
         ids, rows = _whole(vectors[id_col]), _whole(vectors[vector])
         types = [block.schema.field(query_id).type, ids.type, pa.float64()]
         parts = [pa.table([pa.array([], t) for t in types], names)]
-        for best in _queries_by_length(_whole(block[query_id]), _whole(block[query_vector]), n, names):
+        for best in queries_by_length(_whole(block[query_id]), _whole(block[query_vector]), n, names):
             best.add(ids, rows)
             parts += best.tables()
         return pa.concat_tables(parts)
