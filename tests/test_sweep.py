@@ -39,3 +39,16 @@ def test_batch_index_search_agrees_with_single_searches(spark):
         for row in queries.orderBy("query_id").limit(2).collect():
             alone = evaluation.ivf.search(spark, index, row.query_vector, 20, 2).collect()
             assert {r.id for r in alone} == {r.id for r in found if r.query_id == row.query_id}
+
+
+def test_more_rows_than_the_driver_holds(spark, monkeypatch):
+    """Candidates and rankings stay frames, so no bound for driver rows ends the sweep."""
+    monkeypatch.setattr(session, "PIN_ROWS", 3)
+    monkeypatch.setattr(session.pin, "__defaults__", (3,))
+    queries = vectors.label_centers(spark, SF).select(
+        F.col("label").cast("string").alias("query"), F.col("center").alias("vector")
+    )
+    found = evaluation.sweep(
+        corpus.search_tables(spark, SF), queries, scratch_dir(spark, "sweep"), (2,), (1,), (50,), n_chunks=50
+    )
+    assert found.count() == queries.count()
