@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import exact_dedup, mixing, packing, quality_rules, shingle_sets
+from tapeloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from tapeloom.llm.common import documents
 from tapeloom.session import to_scratch
 
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
-    return shingle_sets.drop_near_copies(docs)
+    """One document of each component of fingerprints of three-word shingles that differ in two bits at most."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
