@@ -5,7 +5,7 @@ They say the contracts anew and share only fixed values with the operators.
 
 from __future__ import annotations
 
-from . import mixing, pii, quality_rules, secret_scan
+from . import importance, mixing, pii, quality_rules, secret_scan
 from .spans import NEAR
 
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
@@ -181,10 +181,45 @@ EXACT = """WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
 row_number() OVER w = 1 AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 
+def drawn() -> str:
+    n = importance.BUCKETS
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+    def words(table: str, key: str) -> str:
+        return f"SELECT {key} AS k, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), {word}) AS w FROM {table}"
+
+    def runs(table: str) -> str:
+        return f"""SELECT k, unnest(w) AS f FROM {table}
+  UNION ALL SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM {table} WHERE len(w) > 1"""
+
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""WITH RECURSIVE r AS (SELECT b, b::BIGINT AS c, 0 AS i FROM range(256) AS z(b) UNION ALL SELECT b, {step}, i + 1 FROM r WHERE i < 8),
+tab AS (SELECT list(c ORDER BY b) AS z FROM r WHERE i = 8),
+d AS ({words("documents", "doc_id")}), q AS ({words("benchmark", "item_id")}),
+fd AS ({runs("d")}), fq AS ({runs("q")}),
+u AS (SELECT DISTINCT f FROM (SELECT f FROM fd UNION ALL SELECT f FROM fq)),
+x AS (SELECT f, hex(encode(f)) AS h FROM u),
+c AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+  lambda v, b: xor(v // 256, z[(xor(v % 256, b)) + 1])), 4294967295) % {n} AS b FROM x, tab),
+nd AS (SELECT b, count(*) AS s FROM fd JOIN c USING (f) GROUP BY b), nq AS (SELECT b, count(*) AS t FROM fq JOIN c USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM nd) + {n})::DOUBLE
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM nq) + {n})::DOUBLE)))::BIGINT AS gain
+  FROM range({n}) AS z(b) LEFT JOIN nd USING (b) LEFT JOIN nq USING (b)),
+m AS (SELECT k, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM fd JOIN c USING (f) JOIN g USING (b) GROUP BY k),
+e AS (SELECT d.k AS doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  ('0x' || left(sha256('{importance.SEED}:' || coalesce(d.k::VARCHAR, '')), 8))::BIGINT AS h FROM d LEFT JOIN m USING (k)),
+o AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_words >= {importance.MIN_WORDS}
+  QUALIFY rank <= {importance.PERCENT} * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM o LEFT JOIN p USING (doc_id)"""
+
+
 SQL = {
     "op1_pii": personal_data(),
     "op2_secret_scan": secrets(),
     "op4_mixing": mixing_targets(),
     "op6_quality_rules": quality(),
     "op8_exact_dedup": EXACT,
+    "op12_importance": drawn(),
 }
