@@ -5,7 +5,7 @@ They say the contracts anew and share only fixed values with the operators.
 
 from __future__ import annotations
 
-from . import importance, mixing, pii, quality_rules, secret_scan
+from . import centroids, importance, mixing, pii, quality_rules, secret_scan
 from .spans import NEAR
 
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
@@ -181,6 +181,26 @@ EXACT = """WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
 row_number() OVER w = 1 AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 
+def clusters() -> str:
+    dims, k, rounds = centroids.DIMENSIONS, centroids.CENTROIDS, centroids.ROUNDS
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT r, min({{'d': list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c}}) AS m
+  FROM v, c{r} GROUP BY r)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT m.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (r), range(1, {dims + 1}) AS z(i) GROUP BY m.c, i),
+n{r} AS (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(n{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN n{r} USING (c))""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM
+  (SELECT x, sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, m.c::INT AS cluster, m.d::BIGINT AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+(sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} f ON m.c = f.c"""
+
+
 def drawn() -> str:
     n = importance.BUCKETS
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -221,5 +241,6 @@ SQL = {
     "op4_mixing": mixing_targets(),
     "op6_quality_rules": quality(),
     "op8_exact_dedup": EXACT,
+    "op11_centroids": clusters(),
     "op12_importance": drawn(),
 }
