@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    centroids, exact_dedup, importance, mixing, packing, pii, quality_model, quality_rules, secret_scan, simhash, token_counts, toxicity,
+    centroids, exact_dedup, importance, mixing, packing, pii, quality_model, quality_rules, secret_scan, simhash, suffix_dedup,
+    token_counts, toxicity,
 )
 from .common import documents
 from .twins import SQL  # noqa: F401
@@ -38,4 +39,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": lambda spark, sf_dir: simhash.near_groups(documents(spark, sf_dir)),
     "op11_centroids": lambda spark, sf_dir: centroids.cluster_digest(embeddings(spark, sf_dir)),
     "op12_importance": lambda spark, sf_dir: importance.importance(documents(spark, sf_dir), benchmark(spark, sf_dir)),
+    "op13_suffix_dedup": lambda spark, sf_dir: suffix_dedup.repeats_digest(documents(spark, sf_dir)),
 }

@@ -5,7 +5,7 @@ They say the contracts anew and share only fixed values with the operators.
 
 from __future__ import annotations
 
-from . import centroids, importance, mixing, pii, quality_rules, secret_scan
+from . import centroids, importance, mixing, pii, quality_rules, secret_scan, suffix_dedup
 from .spans import NEAR
 
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
@@ -235,6 +235,21 @@ p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FRO
 SELECT doc_id, n_features, weight, score, rank FROM o LEFT JOIN p USING (doc_id)"""
 
 
+def repeats() -> str:
+    n = suffix_dedup.DEPTH
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * n})) AS m FROM (SELECT r, h, unnest(range(len(h) // 2 - {n - 1})) AS i FROM d)),
+o AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+s AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + {n}, -1) AS is_first FROM o),
+g AS (SELECT r, i, sum(is_first::INT) OVER (PARTITION BY r ORDER BY i) AS no FROM s),
+x AS (SELECT r, no, min(i) AS a, max(i) + {n} AS b FROM g GROUP BY r, no),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM x),
+k AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
 SQL = {
     "op1_pii": personal_data(),
     "op2_secret_scan": secrets(),
@@ -243,4 +258,5 @@ SQL = {
     "op8_exact_dedup": EXACT,
     "op11_centroids": clusters(),
     "op12_importance": drawn(),
+    "op13_suffix_dedup": repeats(),
 }
