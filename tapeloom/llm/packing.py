@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..session import to_scratch
+from .byte_pairs import SIMPLE, Merges
 from .common import arrow
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_UNITS = 1_500_000  # about 300 MB
+CACHED_UNITS = 300_000  # about 60 MB, and as many of the generation before
 CACHED_LENGTH = 64
-JOINED_UNITS = 4096
+JOINED_UNITS = 8192
 GROUP_CHARS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -52,11 +53,14 @@ class Tokens:
     The tokenizer's own first step never joins what a single blank separates, so
     a unit's ids do not depend on its neighbours.  The exception is a run of white
     space that holds a blank before its last character; such texts are given to the
-    tokenizer whole.  Units that the cache lacks are given to it many at a time, as
-    one text, and told apart by the ids that start with a blank.
+    tokenizer whole.  Units that the cache lacks are merged many at a time
+    (``byte_pairs``) or, if they are not of the simple kind, given to the tokenizer.
+    The cache has two generations: a full one becomes the older one, whose units
+    come back when they are met again.
     """
 
     _across = re.compile(r"\s (?:\s|\Z)")
+    _simple = re.compile(SIMPLE)
     _kept: dict[str, "Tokens"] = {}
 
     def __init__(self, path: str):
@@ -65,11 +69,10 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = Merges(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.leads: dict[str, bytes] = {}  # of units that start a text
-        self.starts = np.zeros(self.library.get_vocab_size() + 1, bool)
-        for token, number in self.library.get_vocab().items():
-            self.starts[number] = token.startswith("\u0120")  # the byte-level form of a blank
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -83,25 +86,21 @@ class Tokens:
     def _units(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units that follow a blank."""
         found: dict[str, bytes] = {}
-        plain = [u for u in units if u and not u[0].isspace() and not u[-1].isspace()]
-        for low in range(0, len(plain), JOINED_UNITS):
-            part = plain[low : low + JOINED_UNITS]
-            ids = self._encode(" " + " ".join(part))
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(part):
-                continue
-            raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-            found.update(zip(part, [raw[a:b] for a, b in zip((4 * cuts).tolist(), ends)]))
-        for unit in units:
-            if unit not in found:
-                found[unit] = self._encode(" " + unit).tobytes()
+        simple = [u for u in units if self._simple.fullmatch(u)]
+        for low in range(0, len(simple), JOINED_UNITS):
+            part = simple[low : low + JOINED_UNITS]
+            found.update(zip(part, self.merges.ids(part)))
+        rest = [u for u in units if u not in found]
+        if rest:
+            encoded = self.library.encode_batch_fast([" " + u for u in rest], add_special_tokens=False)
+            found.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, encoded))
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
         if len(self.known) > CACHED_UNITS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         get, open_texts, lacking = self.known.get, [], set()
         for i, text in enumerate(texts):
             if self._across.search(text):
@@ -120,7 +119,8 @@ class Tokens:
                 open_texts.append((i, first, units, found, holes))
             else:
                 out[i] = first + b"".join(found)
-        new = self._units(sorted(lacking))
+        new = {u: self.older[u] for u in lacking if u in self.older}
+        new.update(self._units(sorted(lacking.difference(new))))
         self.known.update((u, ids) for u, ids in new.items() if len(u) <= CACHED_LENGTH)
         for i, first, units, found, holes in open_texts:
             for k in holes:
@@ -179,26 +179,28 @@ class Available:
     """
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.counts, self.capacity = np.zeros(capacity + 1, np.int64), capacity
+        self.counts, self.capacity = [0] * (capacity + 1), capacity
         for length, n in counts.items():
             self.counts[length] = n
-        self.lengths = sorted(counts)
         self.pair_at: dict[int, int] = {}
         self.triple_at: dict[int, int] = {}
 
     def has(self, parts: list[int]) -> int:
         """How often all of these lengths can be taken together."""
-        return min(int(self.counts[p]) // n for p, n in Counter(parts).items())
-
-    def pair(self, total: int) -> list[int] | None:
-        """Two lengths of this sum, the larger one as large as possible."""
-        a = self.pair_at.get(total, total - 1)
-        while 2 * a >= total:
-            if self.counts[a] and self.counts[total - a] and (2 * a != total or self.counts[a] > 1):
-                break
+        return min(self.counts[p] // parts.count(p) for p in parts)
+
+    def pair(self, total: int, taken: list[int]) -> list[int] | None:
+        """Two lengths of this sum that can be taken together with those ``taken``, the larger one as large as possible."""
+        counts, a = self.counts, self.pair_at.get(total, total - 1)
+        while 2 * a >= total and not (counts[a] and counts[total - a]):
             a -= 1
         self.pair_at[total] = a
-        return [a, total - a] if 2 * a >= total and a > 0 else None
+        # Only pairs that share a length with ``taken`` can fail here, so few are passed over.
+        while 2 * a >= total and a:
+            if counts[a] and counts[total - a] and self.has([*taken, a, total - a]):
+                return [a, total - a]
+            a -= 1
+        return None
 
     def triple(self, total: int, long: int) -> list[int] | None:
         """Three lengths of this sum that can be taken together with ``long``."""
@@ -206,9 +208,9 @@ class Available:
         while 3 * a >= total and not self.counts[a]:
             a -= 1
         self.triple_at[total] = a
-        while 3 * a >= total:
-            rest = self.pair(total - a) if self.counts[a] else None
-            if rest and self.has([long, a, *rest]):
+        while 3 * a >= total and a:
+            rest = self.pair(total - a, [long, a]) if self.counts[a] else None
+            if rest:
                 return [a, *rest]
             a -= 1
         return None
@@ -220,23 +222,26 @@ class Available:
             return []
         if self.has([long, gap]):
             return [gap]
-        two = self.pair(gap)
-        if two and self.has([long, *two]):
-            return two
-        return self.triple(gap, long)
+        return self.pair(gap, [long]) or self.triple(gap, long)
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ``([(length, repeats), ...], sequences)`` that use each length as often as it occurs."""
-    plan: list[tuple[list[tuple[int, int]], int]] = []
-    left = Available(counts, capacity)
-    for long in sorted(counts, reverse=True):
+def fill_exactly(left: Available) -> list[tuple[list[tuple[int, int]], int]]:
+    """Takes full sequences of up to four lengths, longest first, until none is left."""
+    plan = []
+    for long in range(left.capacity, 0, -1):
         while left.counts[long] and (parts := left.filling(long)) is not None:
             pattern = Counter([long, *parts])
             times = left.has([long, *parts])
             for length, n in pattern.items():
                 left.counts[length] -= n * times
             plan.append((sorted(pattern.items(), reverse=True), times))
+    return plan
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns ``([(length, repeats), ...], sequences)`` that use each length as often as it occurs."""
+    left = Available(counts, capacity)
+    plan = fill_exactly(left)
 
     # Best fit for the rest, longest first: groups of equal sequences by the gap they leave.
     by_gap: dict[int, list[tuple[list[tuple[int, int]], int]]] = defaultdict(list)
@@ -249,7 +254,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
             by_gap[gap].append((pattern, times))
 
     for length in sorted(counts, reverse=True):
-        n = int(left.counts[length])
+        n = left.counts[length]
         while n:
             at = bisect.bisect_left(gaps, length)
             if at < len(gaps):
@@ -301,7 +306,8 @@ def pack(
     keys = (place["length"] << 44) + place["first"]
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    numbered = cut.join(shifts, ["task", "length"]).select(
+    # The shifts grow with the number of tasks, so they are merged and never broadcast.
+    numbered = cut.join(shifts.hint("merge"), ["task", "length"]).select(
         "id", "piece", "start", "length", "crc", (F.col("no") + F.col("shift")).alias("number"),
         *(["ids"] if with_ids else []),
     )

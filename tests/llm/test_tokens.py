@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -107,6 +108,39 @@ def test_exact_complements_are_found():
     assert sorted(sum(length * each for length, each in p) for p, n in plan for _ in range(n)) == [2048] * 7
 
 
+def test_pairs_that_collide_are_passed_over():
+    left = packing.Available({24: 1, 12: 1, 20: 1, 16: 1}, 60)
+    assert sorted(left.filling(24)) == [16, 20]
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 4), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_no_exact_fill_is_left(counts):
+    left = packing.Available(counts, 40)
+    packing.fill_exactly(left)
+    rest = Counter({n: c for n, c in enumerate(left.counts) if c})
+    for parts in range(1, 5):
+        for some in combinations_with_replacement(sorted(rest), parts):
+            assert sum(some) != 40 or any(rest[n] < some.count(n) for n in some)
+
+
+@given(st.lists(st.text(alphabet="aabcEéüßñÿÀ0123..,,!$#\n_-thingsaaaa|<>", min_size=1, max_size=25), min_size=1, max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_merged_units_equal_the_tokenizer(units):
+    tokens = packing.Tokens.of(public_tokenizers.path(packing.TOKENIZER))
+    simple = [u for u in units if tokens._simple.fullmatch(u)]
+    want = [np.array(tokens.library.encode(" " + u, add_special_tokens=False).ids, "<u4").tobytes() for u in simple]
+    assert not simple or tokens.merges.ids(simple) == want
+
+
+def test_cache_generations(monkeypatch, sample_rows):
+    monkeypatch.setattr(packing, "CACHED_UNITS", 50)
+    tokens = packing.Tokens(public_tokenizers.path(packing.TOKENIZER))
+    for _, text in sample_rows[:40]:
+        want = np.array(tokens.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokens.ids([text]) == [want] and tokens.ids([text]) == [want]
+
+
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 50), max_size=12))
 @settings(max_examples=100, deadline=None)
 def test_plan_with_a_small_capacity(counts):
