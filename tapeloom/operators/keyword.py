@@ -35,8 +35,14 @@ def _all(columns: Sequence[Column]) -> Column:
 Variants = Mapping[str, Sequence[str]]
 
 
+class Stems(dict):
+    """Variants for postings that hold stems: each word of the query with its one stem."""
+
+
 def forms(word: str, variants: Variants | None) -> list[str]:
     """The spellings under which a word of the query may be found."""
+    if isinstance(variants, Stems):
+        return [variants[word]]
     return sorted({word, *(variants or {}).get(word, ())})
 
 
@@ -138,17 +144,17 @@ def stem_variants(known: DataFrame, query: str) -> dict[str, list[str]]:
     return {w: sorted(r["term"] for r in rows if r["stem"] == s) for w, s in stems.items()}
 
 
-def write_postings(found: DataFrame, path: str, buckets: int = 64) -> None:
+def write_postings(found: DataFrame, path: str, buckets: int = 64, order: Sequence[str] = ("term",)) -> None:
     """Store postings so that a lookup reads few files.
 
-    Terms are hashed to folders and sorted inside files.  ``rebalance`` lets
+    Terms are hashed to folders and sorted inside files by the ``order`` columns.  ``rebalance`` lets
     adaptive execution split the folder of a very common word.  Choose as many
     buckets as keep a folder at a few GB.
     """
     bucketed = found.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     (
         bucketed.hint("rebalance", "term_bucket")
-        .sortWithinPartitions("term_bucket", "term")
+        .sortWithinPartitions("term_bucket", *order)
         .write.partitionBy("term_bucket")
         .parquet(path)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.embed import Embedder, HashedWords, embed_one
 from ..functions.scores import FUSION_K, reciprocal_rank, weighted_sum
-from ..operators import ivf, keyword, nearest
+from ..operators import ivf, keyword, nearest, word_index
 from ..operators.chunks import with_spaced_text
 from ..operators.filters import Filters
 from ..operators.fusion import first_known
@@ -31,6 +31,8 @@ class SearchTables:
     ``metadata(url, publish_date, video_type, review_score, ...)`` with unique urls,
     ``chunk_text(id, url, start_segment, end_segment, text, segment_start, segment_end)``.
     With a ``vocabulary(term, stem)`` words match by their English stem, otherwise as they are.
+    With ``postings`` words and phrases are looked up in a stored index, by stems if it holds
+    stems, and of ``transcripts`` only the rows of the winners are read.
     """
 
     embeddings: DataFrame
@@ -41,6 +43,7 @@ class SearchTables:
     index: ivf.IvfIndex | None = None
     probes: int = 50
     vocabulary: DataFrame | None = None
+    postings: word_index.WordIndex | None = None
 
     def word_rank(self, query: str) -> Column:
         """Rank of a segment's text for any word of the query."""
@@ -141,14 +144,37 @@ _SEGMENT = ["url", "segment_id", "segment_seek", "segment_start", "segment_end"]
 
 
 def segment_hits(tables: SearchTables, query: str, filters: Filters = NO_FILTERS) -> DataFrame:
-    """Every segment with a word of the query, with its text and ``rank``."""
-    ranked = tables.transcripts.select(*_SEGMENT, "text", tables.word_rank(query).alias("rank"))
-    hits = _matching(ranked)
+    """Every segment with a word of the query, with its ``rank``, and its text unless ``postings`` are given."""
+    if tables.postings is None:
+        hits = _matching(tables.transcripts.select(*_SEGMENT, "text", tables.word_rank(query).alias("rank")))
+    else:
+        hits = word_index.hits(tables.transcripts.sparkSession, tables.postings, query)
     if filters.active():
         hits = present(hits, filters.apply(tables.metadata).select("url"), "url")
     return hits
 
 
+def best_segment_hits(
+    tables: SearchTables, query: str, n: int, filters: Filters = NO_FILTERS, phrase: bool = False
+) -> DataFrame:
+    """The ``n`` best of ``segment_hits``, or of the segments that hold the query as a phrase."""
+    if tables.postings is not None:
+        allowed = filters.apply(tables.metadata).select("url") if filters.active() else None
+        return word_index.top_hits(tables.transcripts.sparkSession, tables.postings, query, n, phrase, allowed)
+    if not phrase:
+        return top_k(segment_hits(tables, query, filters), by_rank(), n)
+    ranked = tables.transcripts.select(*_SEGMENT, tables.phrase_rank(query).alias("rank"))
+    return top_k(_matching(ranked), by_rank(), n)
+
+
+def with_segments(tables: SearchTables, hits: DataFrame, columns: Sequence[str], urls: Urls | None = None) -> DataFrame:
+    """Hits with columns of their segments, which hits from ``postings`` lack."""
+    if tables.postings is None:
+        return hits
+    segments = tables.transcripts if urls is None else restrict(tables.transcripts, urls, "url")
+    return hits.join(segments.select("url", "segment_id", *columns), ["url", "segment_id"])
+
+
 def by_rank() -> list:
     return [F.col("rank").desc(), F.col("url"), F.col("segment_id")]
 
@@ -164,11 +190,13 @@ def keyword_segments(
 
     ``n=None`` returns all of them.
     """
-    hits = segment_hits(tables, query, filters)
-    titles = tables.metadata.select("url", "title")
-    if n is not None:
-        hits, urls = fixed(top_k(hits, by_rank(), n), n, "url")
+    titles, urls = tables.metadata.select("url", "title"), None
+    if n is None:
+        hits = segment_hits(tables, query, filters)
+    else:
+        hits, urls = fixed(best_segment_hits(tables, query, n, filters), n, "url")
         titles = titles if urls is None else restrict(titles, urls, "url")
+    hits = with_segments(tables, hits, [*_SEGMENT[2:], *(["text"] if include_text else [])], urls)
     wanted = ["title", "url", *(["text"] if include_text else []), F.col("segment_id").alias("id")]
     return (
         hits.join(titles, "url", "left")
@@ -179,9 +207,11 @@ def keyword_segments(
 
 def phrase_segments(tables: SearchTables, query: str, n: int = 10) -> DataFrame:
     """Segments that hold the query as a phrase, best first."""
-    ranked = tables.transcripts.select(*_SEGMENT, tables.phrase_rank(query).alias("rank"))
-    best = top_k(_matching(ranked), by_rank(), n)
-    return best.withColumnRenamed("segment_id", "id")
+    best, urls = best_segment_hits(tables, query, n, phrase=True), None
+    if tables.postings is not None:
+        best, urls = fixed(best, n, "url")
+    found = with_segments(tables, best, _SEGMENT[2:], urls).select(*_SEGMENT, "rank")
+    return found.withColumnRenamed("segment_id", "id")
 
 
 def phrase_chunks_for_urls(
@@ -192,9 +222,13 @@ def phrase_chunks_for_urls(
     A chunk appears once per matching segment, or once with its best segment.
     """
     urls = short_list(urls)
-    ranked = restrict(tables.transcripts, urls, "url").select(
-        "url", "segment_id", "segment_seek", tables.phrase_rank(query).alias("rank")
-    )
+    if tables.postings is None:
+        ranked = restrict(tables.transcripts, urls, "url").select(
+            "url", "segment_id", "segment_seek", tables.phrase_rank(query).alias("rank")
+        )
+    else:
+        ranked = restrict(word_index.hits(tables.transcripts.sparkSession, tables.postings, query, True), urls, "url")
+        ranked = with_segments(tables, ranked, ["segment_seek"], urls)
     chunks = restrict(tables.chunk_text, urls, "url")
     # Texts join after the ranking, so that expanding the ranges copies only keys.
     found = interval_join(chunks.select(*_CHUNK), ranked.where(F.col("rank") > 0), "url", "segment_id")

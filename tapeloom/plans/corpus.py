@@ -5,9 +5,12 @@ Each table exists twice: as a frame, and as SQL in ``CTES`` for checking.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.strings import url_of
+from ..operators import word_index
 from ..operators.chunks import chunk_to_text
 from ..session import scratch_dir
 from ..sources.sinks import append_clustered
@@ -134,6 +137,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_to_text(embeddings(spark, sf_dir), transcripts(spark, sf_dir))
 
 
+_INDEXED: dict[tuple[str, str, bool], word_index.WordIndex] = {}
 _STORED: dict[tuple[str, str], SearchTables] = {}
 
 
@@ -157,6 +161,19 @@ def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
     return _STORED[key]
 
 
+def indexed_tables(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> SearchTables:
+    """The serving tables with a stored word index, which was filled in two parts."""
+    tables = search_tables(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stemmed)
+    if key not in _INDEXED:
+        late = F.pmod(F.xxhash64("url"), F.lit(3)) == 0
+        index = word_index.WordIndex(scratch_dir(spark, "word-index"), buckets=8, blocks=32, stemmed=stemmed)
+        for half in (~late, late):
+            index = word_index.add(index, tables.transcripts.where(half))
+        _INDEXED[key] = index
+    return replace(tables, postings=_INDEXED[key].opened(spark))
+
+
 def vector_row(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """The query vector of the checks: one row of the vector table."""
     row = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import ivf
+from ..operators import ivf, word_index
 from ..operators.chunks import chunk_to_text
 from ..schemas import SERVING_TABLES
 from ..session import to_scratch
@@ -19,13 +19,17 @@ from .chunk_search import SearchTables
 
 @dataclass(frozen=True)
 class UpdateSettings:
-    """Bounds of one update; ``max_videos=None`` takes all, ``cells=None`` builds no index."""
+    """Bounds of one update; ``max_videos=None`` takes all, ``cells=None`` builds no vector index.
+
+    With ``words_folder`` the words of new segments join the stored index of stems that lies there.
+    """
 
     max_videos: int | None = 100
     cells: int | None = None
     index_folder: str | None = None
     recreate_tables: bool = False
     null_aware: bool = False
+    words_folder: str | None = None
 
 
 def _served(spark: SparkSession, database: str) -> dict[str, DataFrame]:
@@ -61,6 +65,8 @@ def update_serving(
         "embeddings": jobs.with_vectors(fresh, vectors),
     }
     fixed = {name: to_scratch(df, name) for name, df in deltas.items()}
+    # Words come before their segments: a batch that is indexed twice counts once, a missing one would be lost.
+    words = _indexed_words(spark, settings, served["transcriptions"], fixed["transcriptions"])
     # What counts as served follows from the metadata, so it is appended last: a run that stops before
     # leaves its videos to the next one, which skips the rows that are there already.
     for name in ("embeddings", "transcriptions", "video_metadata"):
@@ -73,12 +79,26 @@ def update_serving(
     if settings.cells and settings.index_folder:
         path = f"{settings.index_folder.rstrip('/')}/index-{uuid.uuid4().hex}"
         index = ivf.build(served["embeddings"], path, settings.cells)
-    return search_tables(spark, database, index)
+    return search_tables(spark, database, index, words)
+
 
+def _indexed_words(
+    spark: SparkSession, settings: UpdateSettings, served: DataFrame, fresh: DataFrame
+) -> word_index.WordIndex | None:
+    if not settings.words_folder:
+        return None
+    words = word_index.WordIndex(settings.words_folder.rstrip("/"), stemmed=True).opened(spark)
+    for segments in (fresh,) if words.parts else (served, fresh):
+        words = word_index.add(words, segments)
+    return words
 
-def search_tables(spark: SparkSession, database: str, index: ivf.IvfIndex | None = None) -> SearchTables:
+
+def search_tables(
+    spark: SparkSession, database: str, index: ivf.IvfIndex | None = None, words: word_index.WordIndex | None = None
+) -> SearchTables:
     """The tables of a database as the searches want them."""
     served = _served(spark, database)
     return SearchTables(
-        served["embeddings"], served["transcriptions"], served["video_metadata"], served["embeddings_to_text"], index=index
-    )
+        served["embeddings"], served["transcriptions"], served["video_metadata"], served["embeddings_to_text"],
+        index=index, postings=words,
+    )

@@ -21,12 +21,14 @@ from .chunk_search import (
     NO_FILTERS,
     SearchTables,
     Urls,
+    best_segment_hits,
     by_rank,
     hybrid_chunks_for_urls,
     phrase_chunks_for_urls,
     segment_hits,
     similar_chunks_filtered,
     similar_chunks_for_urls,
+    with_segments,
 )
 
 
@@ -154,9 +156,10 @@ def keyword_group_scores(hits: DataFrame) -> DataFrame:
 def _keyword_winners(
     tables: SearchTables, query: str, filters: Filters, n_results_to_consider: int | None = None, n_videos: int = 5
 ) -> _Winners:
-    hits = segment_hits(tables, query, filters)
-    if n_results_to_consider is not None:
-        hits, _ = fixed(top_k(hits, by_rank(), n_results_to_consider), n_results_to_consider, "url")
+    if n_results_to_consider is None:
+        hits = segment_hits(tables, query, filters)
+    else:
+        hits, _ = fixed(best_segment_hits(tables, query, n_results_to_consider, filters), n_results_to_consider, "url")
     best = top_k(keyword_group_scores(hits), _best_first("keyword_search_score"), n_videos)
     rows, urls = settled(best, n_videos, "url")
     scores = rows.select(
@@ -188,6 +191,7 @@ def keyword_search(
     """
     won = _keyword_winners(tables, query, filters, n_results_to_consider, n_videos)
     best = top_per_group(restrict(won.found, won.urls, "url"), ["url"], by_rank(), n_segments_per_video, rank="_nth")
+    best = with_segments(tables, best, ["text"], won.urls)
     lists = best.groupBy("url").agg(ordered_list("_nth", "text").alias("top_segment_chunks"))
     return won.videos.join(lists, "url").orderBy("position")
 
