@@ -8,6 +8,7 @@ from ..functions.embed import HashedWords
 from ..operators import chunks, joins, rows
 from ..plans import corpus, jobs
 from ..plans.corpus import table, with_ctes
+from ..session import scratch_dir
 
 
 def chunk_segments(spark, sf_dir):
@@ -67,11 +68,22 @@ def event_positions(spark, sf_dir):
     return rows.number_rows(events, ["user_id"], ["at", "event_id"], "position", hot_rows=50).drop("at")
 
 
+def chunk_text_refreshed(spark, sf_dir):
+    """Chunk texts that were stored before a third of the urls came in, and then brought up to date."""
+    made, segments = corpus.embeddings(spark, sf_dir), corpus.transcripts(spark, sf_dir)
+    late, path = F.pmod(F.xxhash64("url"), F.lit(3)) == 0, scratch_dir(spark, "chunk-text")
+    chunks.refresh_chunk_text(made.where(~late), segments.where(~late), path, buckets=32)
+    changed = made.where(late).select("url").union(segments.where(late).select("url"))
+    chunks.refresh_chunk_text(made, segments, path, changed, 32)
+    return spark.read.parquet(path).drop("bucket")
+
+
 CHECKS = {
     "chunk_segments": (chunk_segments, with_ctes(CHUNKS.format(sizes="3"), "tr")),
     "chunk_segments_two_sizes": (chunk_segments_two_sizes, with_ctes(CHUNKS.format(sizes="4, 8"), "tr")),
     "chunk_segments_sliced": (chunk_segments_sliced, with_ctes(CHUNKS.format(sizes="3"), "tr")),
     "chunk_text": (chunk_text, with_ctes("SELECT * FROM ct", "ct")),
+    "chunk_text_refreshed": (chunk_text_refreshed, with_ctes("SELECT * FROM ct", "ct")),
     "chunk_text_spaced": (
         chunk_text_spaced,
         with_ctes(

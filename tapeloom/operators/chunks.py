@@ -101,6 +101,40 @@ def chunk_to_text(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     return texts.select(*keys, "text", "segment_start", "segment_end")
 
 
+# Shares of the urls, by hash, that a stored table of chunk texts is partitioned by.
+TEXT_BUCKETS = 1024
+
+
+def url_bucket(buckets: int = TEXT_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
+def refresh_chunk_text(
+    chunks: DataFrame, segments: DataFrame, path: str, changed: DataFrame | None = None, buckets: int = TEXT_BUCKETS
+) -> None:
+    """Bring the stored texts of chunks below ``path`` up to date.
+
+    The table is partitioned by a hash of the url.  With ``changed``, a frame with a
+    column ``url`` of everything that is new, only the buckets that hold such a url are
+    worked out and replaced; the files of the others stay as they are.  Without it,
+    all buckets are written.  Every chunk and segment of a touched bucket is read, so the
+    result equals a full rebuild; a url that lost all its chunks needs a full one.
+
+    A bucket is replaced as a whole when the job commits.  The urls of one batch touch at
+    most ``buckets`` partitions, whose numbers become literals of the scans.
+    """
+    placed = url_bucket(buckets)
+    if changed is not None:
+        dirty = sorted(r[0] for r in changed.select(placed.alias("bucket")).distinct().collect())
+        if not dirty:
+            return
+        chunks, segments = (df.where(placed.isin(*dirty)) for df in (chunks, segments))
+    texts = chunk_to_text(chunks, segments).withColumn("bucket", placed)
+    # Rows of a bucket meet in one task unless it is large, so that it gets few files.
+    writer = texts.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite")
+    writer.option("partitionOverwriteMode", "static" if changed is None else "dynamic").parquet(path)
+
+
 def with_spaced_text(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     """``chunks`` with their text: segments stripped and joined with a space.
 

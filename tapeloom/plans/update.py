@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ivf, word_index
-from ..operators.chunks import chunk_to_text
+from ..operators.chunks import chunk_to_text, refresh_chunk_text
+from ..operators.joins import absent
 from ..schemas import SERVING_TABLES
 from ..session import to_scratch
 from ..sources import sinks
@@ -22,6 +24,7 @@ class UpdateSettings:
     """Bounds of one update; ``max_videos=None`` takes all, ``cells=None`` builds no vector index.
 
     With ``words_folder`` the words of new segments join the stored index of stems that lies there.
+    With ``text_folder`` chunk texts lie there, and only those of changed urls are worked out.
     """
 
     max_videos: int | None = 100
@@ -30,6 +33,7 @@ class UpdateSettings:
     recreate_tables: bool = False
     null_aware: bool = False
     words_folder: str | None = None
+    text_folder: str | None = None
 
 
 def _served(spark: SparkSession, database: str) -> dict[str, DataFrame]:
@@ -73,13 +77,34 @@ def update_serving(
         sinks.append(fixed[name], f"{database}.{name}")
 
     served = _served(spark, database)
-    texts = chunk_to_text(served["embeddings"], served["transcriptions"])
-    sinks.replace(texts, f"{database}.embeddings_to_text")
+    texts = None
+    if settings.text_folder:
+        texts = _refreshed_texts(spark, settings.text_folder.rstrip("/"), served, fixed)
+    else:
+        sinks.replace(chunk_to_text(served["embeddings"], served["transcriptions"]), f"{database}.embeddings_to_text")
     index = None
     if settings.cells and settings.index_folder:
         path = f"{settings.index_folder.rstrip('/')}/index-{uuid.uuid4().hex}"
         index = ivf.build(served["embeddings"], path, settings.cells)
-    return search_tables(spark, database, index, words)
+    tables = search_tables(spark, database, index, words)
+    return tables if texts is None else replace(tables, chunk_text=texts)
+
+
+def _refreshed_texts(
+    spark: SparkSession, folder: str, served: Mapping[str, DataFrame], fresh: Mapping[str, DataFrame]
+) -> DataFrame:
+    """Chunk texts of a folder, worked out anew for new rows and for chunks that have none yet."""
+    chunks, changed = served["embeddings"], None
+    try:
+        known = spark.read.parquet(folder).select(F.concat_ws(" ", "url", "id").alias("key"))
+    except AnalysisException:
+        known = None
+    if known is not None:
+        # A run that stopped before its texts were written left chunks without one.
+        waiting = absent(chunks.select("url", F.concat_ws(" ", "url", "id").alias("key")), known, "key").select("url")
+        changed = waiting.union(fresh["embeddings"].select("url")).union(fresh["transcriptions"].select("url"))
+    refresh_chunk_text(chunks, served["transcriptions"], folder, changed)
+    return spark.read.parquet(folder).drop("bucket")
 
 
 def _indexed_words(
