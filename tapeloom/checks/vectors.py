@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import ivf, nearest, quality
+from ..operators import growing_index, ivf, nearest, quality
 from ..operators.filters import Filters
 from ..plans import chunk_search, corpus, evaluation, video_search
 from ..plans.corpus import table, vector_row, with_ctes
@@ -166,6 +166,35 @@ def ivf_topk(spark, sf_dir):
     return _rounded(found.select("vec_id", "label", "cos_sim"), "cos_sim")
 
 
+def _grown(spark, sf_dir):
+    """An index under the labels' mean vectors, filled in four parts; a tenth of the ids is deleted."""
+    rows, path = _rows(spark, sf_dir), scratch_dir(spark, "growing")
+    centers = np.array([r["center"] for r in label_centers(spark, sf_dir).orderBy("label").collect()])
+    part = F.col("vec_id") % 4
+    index = growing_index.create(rows.where(part == 0), path, id_col="vec_id", centers=centers)
+    for k in (1, 2, 3):
+        index = growing_index.add(index, rows.where(part == k))
+    return growing_index.delete(index, rows.where("vec_id % 10 = 1").select("vec_id"))
+
+
+def grown_index_topk(spark, sf_dir):
+    """The three closest cells after three additions and a deletion."""
+    index = _grown(spark, sf_dir)
+    found = ivf.search(spark, index, vector_row(spark, sf_dir), 10, probes=3, id_col="vec_id")
+    return _rounded(found.select("vec_id", "label", "cos_sim"), "cos_sim")
+
+
+def grown_index_all_cells(spark, sf_dir):
+    """All cells, after those with many vectors were split."""
+    index = growing_index.split(_grown(spark, sf_dir), spark, 40)
+    found = ivf.search(spark, index, vector_row(spark, sf_dir), 10, probes=index.cells, id_col="vec_id")
+    return _rounded(found.select("vec_id", "label", "cos_sim"), "cos_sim")
+
+
+GROWN_ALL = """WITH q AS (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qe), 6) AS cos_sim FROM embeddings, q WHERE vec_id % 10 <> 1
+ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], qe), 12) DESC, vec_id LIMIT 10"""
+
 IVF_TOPK = """WITH q AS (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 0),
 x AS (SELECT label, pos, round(avg(v::DOUBLE), 9) AS v FROM (
   SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY label, pos),
@@ -228,6 +257,8 @@ CHECKS = {
         ivf_all_cells,
         with_ctes("SELECT id, url, round(cos_sim, 6) AS cos_sim FROM sc ORDER BY sc.cos_sim DESC, id LIMIT 10", "sc"),
     ),
+    "grown_index_topk": (grown_index_topk, IVF_TOPK.replace("WHERE cell IN", "WHERE vec_id % 10 <> 1 AND cell IN")),
+    "grown_index_all_cells": (grown_index_all_cells, GROWN_ALL),
     "ann_quality": (ann_quality, None),
     "ann_summary": (ann_summary, None),
 }
