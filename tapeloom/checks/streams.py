@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.corpus import DESCRIPTIONS, TITLES, pick, sql_pick, sql_score, sql_video_type, table
+from ..plans.corpus import DESCRIPTIONS, TITLES, pick, sql_pick, sql_score, sql_video_type, table, with_ctes
 from ..session import scratch_dir
-from ..streaming import incremental
+from ..streaming import daily, incremental
+from .files import CLOCK, _results
 
 
 def _run(spark, stream, label):
@@ -42,7 +43,26 @@ def stream_dedupe_watermark(spark, sf_dir):
     return _run(spark, kept, "stream-dedupe-watermark").select("user_id", "event_type")
 
 
+def stream_daily_segments(spark, sf_dir):
+    """Transcription results that land in three files, one batch each, and one file that lands twice."""
+    root, results = scratch_dir(spark, "daily"), _results(spark, sf_dir)
+    for k in (0, 1, 2, 1):
+        results.where(F.pmod(F.xxhash64("url"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    targets = daily.transcript_targets(f"{root}/out", clock=CLOCK)
+    daily.run_available(stream, targets, f"{root}/checkpoint")
+    return targets.read(spark, "segments").withColumn("created_at", F.col("created_at").cast("string"))
+
+
 CHECKS = {
+    "stream_daily_segments": (
+        stream_daily_segments,
+        with_ctes(
+            """SELECT url, text, 'en' AS language, '2024-02-01 00:00:00' AS created_at, 'small_segment' AS segment_type,
+  segment_id, segment_seek, segment_start, segment_end FROM tr""",
+            "tr",
+        ),
+    ),
     "stream_enrich": (
         stream_enrich,
         f"""SELECT CAST(event_id AS VARCHAR) AS id, concat('event/', event_id) AS url,
