@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def all_checks() -> dict:
-    from . import chunks, deltas, enrichment, files, indexed, keyword, relational, streams, vectors, videos
+    from . import chunks, deltas, enrichment, files, indexed, keyword, relational, streams, vectors, videos, writers
 
     found: dict = {}
-    for module in (vectors, enrichment, chunks, deltas, relational, keyword, videos, indexed, files, streams):
+    for module in (vectors, enrichment, chunks, deltas, relational, keyword, videos, indexed, files, streams, writers):
         found.update(module.CHECKS)
     return found
