@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.corpus import DESCRIPTIONS, TITLES, pick, sql_pick, sql_score, sql_video_type, table, with_ctes
 from ..session import scratch_dir
-from ..streaming import daily, incremental
+from ..streaming import daily, incremental, latest
 from .files import CLOCK, _results
 
 
@@ -54,7 +54,25 @@ def stream_daily_segments(spark, sf_dir):
     return targets.read(spark, "segments").withColumn("created_at", F.col("created_at").cast("string"))
 
 
+def stream_latest(spark, sf_dir):
+    """The newest event of each user, from three files whose rows are in no order."""
+    root = scratch_dir(spark, "latest")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    changes = latest.newest_rows(stream, "user_id", "ts", "event_id", "3650 days", 24 * 3600 * 1000)
+    latest.run_available(changes, f"{root}/out", f"{root}/checkpoint")
+    row = F.max_by(F.struct("event_id", "event_type"), "batch").alias("row")
+    return spark.read.parquet(f"{root}/out").groupBy("user_id").agg(row).select("user_id", "row.*")
+
+
 CHECKS = {
+    "stream_latest": (
+        stream_latest,
+        """SELECT user_id, event_id, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    ),
     "stream_daily_segments": (
         stream_daily_segments,
         with_ctes(
