@@ -103,12 +103,16 @@ def _near(parts: DataFrame, others: DataFrame) -> DataFrame:
     return a.join(b, close, "left_semi").drop("bin")
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """``(digest, spans)``: weak parts near a complement, for texts that have any."""
+def _both_sides() -> Column:
+    """Whether a text has a weak part and parts of both sides, so that something may link."""
     has = lambda spans, *kinds: F.exists(spans, lambda s: s["kind"].isin(*kinds))
     both = has(F.col("base"), "assign", "hex") | has(F.col("weak"), "key")
-    both = both & (has(F.col("base"), "access") | has(F.col("weak"), "id", "endpoint"))
-    parts = rows.where((F.size("weak") > 0) & both).dropDuplicates(["digest"])
+    return (F.size("weak") > 0) & both & (has(F.col("base"), "access") | has(F.col("weak"), "id", "endpoint"))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """``(digest, spans)``: weak parts near a complement, for texts that have any."""
+    parts = rows.dropDuplicates(["digest"])
     parts = parts.select("digest", F.explode(F.concat("base", "weak")).alias("s")).select("digest", "s.*")
     key = F.col("kind").isin("assign", "hex", "key")
     found = _near(parts.where(F.col("kind") == "key"), parts.where(~key)).unionByName(
@@ -124,8 +128,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.when(F.size("_s_weak") > 0, digest(text_or_empty())).alias("digest"), F.col("_s_base").alias("base"),
         F.col("_s_weak").alias("weak"),
     )
-    rows = to_scratch(rows, "secret-parts")
-    rows = rows.join(linked(rows), "digest", "left")
+    rows = to_scratch(rows.withColumn("open", _both_sides()), "secret-parts")
+    # Texts in which nothing can link never meet the join.
+    open_ = rows.where("open")
+    none = F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    rows = rows.where("NOT open").withColumn("found", none).unionByName(open_.join(linked(open_), "digest", "left"))
     added = F.coalesce(F.col("found"), F.array().cast(SPANS))
     base, spans = _in_order(F.col("base")), _in_order(F.concat("base", added))
     return rows.select(
