@@ -15,20 +15,22 @@ def held_out(key: Column) -> Column:
 
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text",
-    weight: dict[int, int] | None = None,
+    text_bytes: int = TEXT_BYTES,
 ) -> tuple[list[str], list[int]]:
-    """At most ``rows`` texts of each label value 0 and 1, none held out.
+    """At most ``rows`` texts of each label value 0 and 1, none held out, none above ``text_bytes``.
 
-    The ids with the smallest hashes are taken, so reruns and layouts agree.  They
-    are at most ``2 * rows`` longs, which is what is broadcast.
+    The ids with the smallest hashes are taken of those whose text is short enough, so
+    reruns and layouts agree.  They are at most ``2 * rows`` longs, which is what is
+    broadcast; the driver holds at most ``2 * rows * text_bytes`` bytes of text.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
     usable = named.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     usable = usable.groupBy("id").agg(F.max("label").alias("label"))
-    wanted = [usable.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(rows) for v in (0, 1)]
-    ids = wanted[0].unionByName(wanted[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.where(F.octet_length("text") <= TEXT_BYTES)
+    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
+    short = usable.join(texts.select("id"), "id", "left_semi")
+    wanted = [short.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(rows) for v in (0, 1)]
+    ids = wanted[0].unionByName(wanted[1])
     found = texts.join(F.broadcast(ids), "id").select("id", "text", "label").orderBy(F.xxhash64("id"), "id").limit(2 * rows)
     got = found.toArrow()
     return [t or "" for t in got["text"].to_pylist()], got["label"].to_pylist()

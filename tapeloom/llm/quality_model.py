@@ -59,23 +59,35 @@ def features(text: str):
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     blank = (points == 32) | ((points >= 9) & (points <= 13))
     points[blank] = 32
-    low = 0
+    low, before = 0, None
+    spots = np.flatnonzero(blank)
     while low < len(points):
-        high = min(len(points), low + PIECE_CHARS)
-        if high < len(points):  # cut at a blank, if there is one
-            spots = np.flatnonzero(blank[low + 1 : high])
-            high = low + 1 + int(spots[-1]) if len(spots) else high
-        yield _part(np.concatenate([[np.uint64(32)], points[low:high], [np.uint64(32)]]))
+        # A part ends at a blank, however long its last word is.
+        at = np.searchsorted(spots, low + PIECE_CHARS)
+        high = int(spots[at]) if at < len(spots) else len(points)
+        found, words = _part(np.concatenate([[np.uint64(32)], points[low:high], [np.uint64(32)]]))
+        yield found
+        if len(words):
+            if before is not None:
+                yield _pairs(np.array([before, words[0]], np.uint64))
+            before = words[-1]
         low = high
 
 
-def _part(points: np.ndarray) -> np.ndarray:
-    """Buckets of a part that starts and ends with a blank.
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbouring words, from the words' hashes."""
+    pairs = _bucket(words[:-1] * _BASE + words[1:], 202)
+    pairs[words[1:] == words[:-1]] = SAME_PAIR
+    return pairs
+
+
+def _part(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a part that starts and ends with a blank, and the hashes of its words.
 
     Blanks at both ends of a word belong to its n-grams, blanks inside do not.
     """
     inside, place = points != 32, np.arange(len(points))
-    found = []
+    found, words = [], np.zeros(0, np.uint64)
     for n in NGRAMS:
         size = max(0, len(points) - n + 1)
         valid = np.ones(size, bool)
@@ -93,10 +105,8 @@ def _part(points: np.ndarray) -> np.ndarray:
         weighed = np.where(inside, points * _POWERS[np.minimum(spots, 63)], np.uint64(0))
         words = np.add.reduceat(weighed, starts)
         found.append(_bucket(words, 101))
-        pairs = _bucket(words[:-1] * _BASE + words[1:], 202)
-        pairs[words[1:] == words[:-1]] = SAME_PAIR
-        found.append(pairs)
-    return np.concatenate(found)
+        found.append(_pairs(words))
+    return np.concatenate(found), words
 
 
 def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +182,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return arrow(narrow, task, schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", **names: str) -> DataFrame:
-    """Train on the labelled rows that are not held out, score every row."""
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, **names: str) -> DataFrame:
+    """Train on at most ``rows`` labelled rows of each label that are not held out, score every row."""
     id_col = names.get("id_col", "doc_id")
-    texts, own = sample(docs, labels, label, ROWS, **names)
+    texts, own = sample(docs, labels, label, rows, **names)
     usable = labels.where(~held_out(F.col(id_col)) & F.col(label).isin(0, 1))
     share = usable.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return score(docs, train(texts, own, share), **names)

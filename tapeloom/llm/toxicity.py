@@ -116,7 +116,11 @@ def matched(automaton: ahocorasick.Automaton, folded: str) -> list[float]:
     return [weight for _, weight in entries.values()]
 
 
-def strength(weights: list[float], words: int) -> float:
+def strength(weights: list[float], folded: str) -> float:
+    """Sum of the weights, normalised by the words of the folded text."""
+    if not weights:
+        return 0.0
+    words = len(folded.split())
     return sum(weights) / (1 + math.log2(1 + words / 200) / 4)
 
 
@@ -176,7 +180,7 @@ def train(texts: list[str], labels: list[int]) -> dict:
     weights = {**learned, **{s: STEM_WEIGHT for s in STEMS}}
     phrases = sorted({*PHRASES, *excused})
     automaton = build(weights, phrases)
-    x = [strength(matched(automaton, f), len(f.split())) for f in map(fold, texts)]
+    x = [strength(matched(automaton, f), f) for f in map(fold, texts)]
     slope, offset = fit(np.array(x), np.array(labels)) if texts else (STEEPNESS, -STEEPNESS)
     return {"weights": weights, "phrases": phrases, "slope": slope, "offset": offset}
 
@@ -199,7 +203,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             for text in batch.column(1).to_pylist():
                 folded = fold(text or "")
                 weights = matched(automaton, folded)
-                x = strength(weights, folded.count(" ")) if weights else 0.0
+                x = strength(weights, folded)
                 counts.append(len(weights))
                 sums.append(float(sum(weights)))
                 scores.append(1 / (1 + math.exp(-(model["slope"] * x + model["offset"]))))
@@ -212,6 +216,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return arrow(narrow, task, schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", **names: str) -> DataFrame:
-    """Train on the labelled rows that are not held out, score every row."""
-    return score(docs, train(*sample(docs, labels, label, ROWS, **names)), **names)
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, **names: str) -> DataFrame:
+    """Train on at most ``rows`` labelled rows of each label that are not held out, score every row."""
+    return score(docs, train(*sample(docs, labels, label, rows, **names)), **names)

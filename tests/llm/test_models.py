@@ -1,11 +1,14 @@
 """Toxicity and the quality model: held-out accuracy and odd rows."""
 
+import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tapeloom.llm import quality_model, toxicity
+from tapeloom.llm import labelled, quality_model, toxicity
 from tapeloom.llm.labelled import sample
 
 SF = "/root/testdata/sf0.1"
@@ -94,10 +97,78 @@ def test_features_do_not_depend_on_where_a_long_text_is_cut(monkeypatch):
     monkeypatch.setattr(quality_model, "PIECE_CHARS", 1_000)
     parts = list(quality_model.features(text))
     assert len(parts) > 10
-    # Only pairs across a cut are missing.
-    assert len(whole) - sum(map(len, parts)) == len(parts) - 1
+    # Nothing is missing or added, not even a pair across a cut.
+    assert (np.sort(np.concatenate(parts)) == whole).all()
 
 
 def test_equal_pairs_share_a_vector():
     found = np.concatenate(list(quality_model.features("ab ab cd cd")))
     assert (found == quality_model.SAME_PAIR).sum() >= 2
+
+
+def _plain_matches(model, folded):
+    """Weights at word starts outside of exception phrases, without an automaton."""
+    own = {i for i, c in enumerate(folded) if c == " "}
+    entries, excused = {}, []
+    for start in own:
+        for stem, weight in model["weights"].items():
+            if folded.startswith(stem, start + 1) and (start not in entries or weight > entries[start][1]):
+                entries[start] = (start + len(stem), weight)
+        excused += [(start, start + len(p) + 1) for p in model["phrases"] if folded.startswith(p + " ", start + 1)]
+    return [w for start, (end, w) in entries.items() if not any(a <= start and end <= b for a, b in excused)]
+
+
+def test_toxicity_scores_equal_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(*labelled.sample(docs, labels, "toxic", 2_500))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    for row in docs.collect():
+        folded = toxicity.fold(row.text or "")
+        weights = _plain_matches(model, folded)
+        x = sum(weights) / (1 + math.log2(1 + len(folded.split()) / 200) / 4) if weights else 0.0
+        want = 1 / (1 + math.exp(-(model["slope"] * x + model["offset"])))
+        found = got[row.doc_id]
+        assert math.isclose(found.score, want, abs_tol=1e-9) and found.n_matches == len(weights)
+        assert found.predicted == int(want >= 0.5)
+
+
+def _plain_features(text):
+    """Words, n-grams and pairs of a text, one by one."""
+    mask = 2**64 - 1
+    bucket = lambda v, salt: ((v + salt & mask) * 0x9E3779B97F4A7C15 & mask) >> (64 - quality_model.BITS)
+    own, out, hashes = [w for w in re.split("[\\x20\\x09-\\x0D]+", text) if w], [], []
+    for word in own:
+        padded = [32, *map(ord, word), 32]
+        for n in quality_model.NGRAMS:
+            for i in range(len(padded) - n + 1):
+                value = 0
+                for c in padded[i : i + n]:
+                    value = value * 0x100000001B3 + c & mask
+                out.append(bucket(value, n))
+        hashes.append(sum(ord(c) * pow(0x100000001B3, min(i, 63), 2**64) for i, c in enumerate(word)) & mask)
+        out.append(bucket(hashes[-1], 101))
+    for a, b in zip(hashes, hashes[1:]):
+        out.append(quality_model.SAME_PAIR if a == b else bucket(a * 0x100000001B3 + b & mask, 202))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 18])
+def test_quality_features_equal_plain_ones(monkeypatch, piece):
+    """Also where a long text is read in parts: no pair is lost and no word is split."""
+    monkeypatch.setattr(quality_model, "PIECE_CHARS", piece)
+    texts = ["", " ", "a", "a b", "aa aa  b\n c", "é日本 😀 x " * 3, "one two three four " * 4, "x" * 100 + " y " + "z" * 70]
+    for text in texts:
+        parts = [x for part in quality_model.features(text) for x in part.tolist()]
+        assert sorted(parts) == _plain_features(text), text
+
+
+def test_quality_scores_equal_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    usable = labels.where(~labelled.held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
+    share = usable.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    model = quality_model.train(*labelled.sample(docs, labels, "quality", 1_500), share)
+    got = {r.doc_id: r.score for r in quality_model.score_quality(docs, labels).collect()}
+    for row in docs.limit(40).collect():
+        found = _plain_features(row.text or "")
+        x = sum(float(model["table"][b]) for b in found) / len(found) + model["offset"] if found else model["empty"]
+        assert math.isclose(got[row.doc_id], 1 / (1 + math.exp(-x)), abs_tol=1e-6)
