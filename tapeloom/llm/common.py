@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +28,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES + "+", -1), F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows in one struct ``row``, beside helper columns that no name of a row can clash with."""
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*fields).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The whole rows of ``packed`` again, under their names."""
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def field(docs: DataFrame, name: str) -> str:
+    """Where ``packed`` rows hold a column."""
+    return f"row.c{docs.columns.index(name)}"
+
+
 def arrow(df: DataFrame, task, schema: StructType) -> DataFrame:
     """Run ``task(batches of dicts of columns) -> dicts of columns`` in each partition.
 
@@ -41,10 +58,24 @@ def arrow(df: DataFrame, task, schema: StructType) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], f.type) for f in layout], schema=layout
                 )
+        # Workers are used again; what this task freed goes back to the machine.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Send at most so many rows to a Python worker at once, for jobs on whole texts that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Small parts of the batches, for tasks that turn rows into Python objects."""
     for batch in batches:

@@ -19,8 +19,8 @@ Defined results: a null text has size 0; a null source is a source of its own, i
 the last place.  The hash covers id and text, so reruns agree whatever the layout;
 fully repeated rows share a hash and are taken or left together.  A source of size
 0 has target 0.  The boundary row is taken if that brings the sum closer to the
-target, not on a tie.  An empty table gives an empty result.  Helper columns are
-named ``_m_...``.
+target, not on a tie.  An empty table gives an empty result.  Rows travel inside
+one struct, so names of other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import to_scratch
-from .common import WORD, text_or_empty
+from .common import WORD, field, packed, text_or_empty, unpacked
 
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
@@ -176,14 +176,15 @@ def mixed_rows(
     weights: Sequence[int] = WEIGHTS, passes: int = MAX_PASSES,
 ) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with all its columns."""
-    sized = with_size_and_hash(docs, id_col, text_col)
+    whole = packed(docs, source=F.col(source_col))
+    sized = with_size_and_hash(whole, field(docs, id_col), field(docs, text_col))
     rows = sized.select(
-        F.col(source_col).alias("source"), F.col("_m_size").alias("size"), F.col("_m_hash").alias("hash")
+        "source", F.col("_m_size").alias("size"), F.col("_m_hash").alias("hash")
     )
     found = plan(to_scratch(rows, "mix-rows"), weights, passes)
     cuts = found.select(F.col("source").alias("_m_source"), F.col("passes").alias("_m_passes"), F.col("limit").alias("_m_limit"))
     copies = F.col("_m_passes") + (F.col("_m_hash") < F.col("_m_limit")).cast("long")
-    joined = sized.join(cuts, F.col(source_col).eqNullSafe(F.col("_m_source")))
+    joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("_m_source")))
     # The filter is on what the generator puts out, so it stays above it and repeats no hashing below.
     each = joined.withColumn("_m_no", F.explode_outer(F.array_repeat(F.lit(1), copies.cast("int")))).where("_m_no = 1")
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(each, docs)

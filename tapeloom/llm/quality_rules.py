@@ -13,8 +13,8 @@ guards are not judged by the histogram in question.
 Defined results: a null text counts as empty (no words, base rule fails).  A null
 language is a language of its own.  A histogram without any count, and a
 language without a long enough text, give no distance and so no objection.
-Repeated rows are judged alike; an empty table gives an empty result.  Helper
-columns are named ``_q_...``; no other column is touched.
+Repeated rows are judged alike; an empty table gives an empty result.  Whole
+rows travel inside one struct, so names of other columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import to_scratch
-from .common import SPACES, text_or_empty, words_of
+from .common import SPACES, field, packed, text_or_empty, unpacked, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -190,4 +190,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are kept, with all their columns."""
-    return with_verdict(docs, text_col, lang_col).where("_q_result.kept").drop("_q_result")
+    judged = with_verdict(packed(docs), field(docs, text_col), field(docs, lang_col))
+    return unpacked(judged.where("_q_result.kept"), docs)

@@ -79,3 +79,16 @@ def test_empty_input(spark, tmp_path, rows):
         str(tmp_path / "documents.parquet")
     )
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_helper_names_do_not_clash(spark):
+    """Columns named like helper columns come through every filtering stage unchanged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_q_words", "_q_result", "_m_size", "_m_hash", "_m_no", "_n_id", "_n_key", "n_id", "n_key", "row", "id", "key", "source_size"]
+    wide = docs.selectExpr("*", *[f"doc_id * 10 + {i} AS `{n}`" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, wide, SF)
+        assert found.columns == wide.columns, name
+        rows = found.collect()
+        assert rows and all(r[n] == r.doc_id * 10 + i for r in rows for i, n in enumerate(names)), name
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stage(spark, docs, SF).collect()), name
