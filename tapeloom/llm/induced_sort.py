@@ -110,23 +110,27 @@ class Strings:
         self.seed = np.zeros(n, bool)
         self.seed[1:] = ~self.is_l[1:] & self.is_l[:-1]
         self.seed[self.stops] = True
-        self.words = np.ndarray((len(self.padded) - 7,), ">u8", self.padded.data, strides=(1,))
+        self.words = np.ndarray((len(self.padded) - 7,), "<u8", self.padded.data, strides=(1,))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``a`` and ``b``, at most ``depth``."""
-        found = np.zeros(len(a), np.int64)
         most = np.minimum(self.stops[self.owner[a]] - a, self.stops[self.owner[b]] - b)
         most = np.minimum(most, self.depth)
+        found, differs = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
         open_ = np.flatnonzero(most > 0)
         while len(open_):
             at = found[open_]
-            x = (self.words[a[open_] + at] ^ self.words[b[open_] + at]).astype(np.uint64)
-            same = (x == 0).astype(np.int64)
-            for n in range(1, 8):
-                same += x >> np.uint64(64 - 8 * n) == 0
-            found[open_] = np.minimum(at + same, most[open_])
-            open_ = open_[(same == 8) & (found[open_] < most[open_])]
-        return found
+            x = self.words[a[open_] + at] ^ self.words[b[open_] + at]
+            same = x == 0
+            differs[open_[~same]] = x[~same]
+            open_ = open_[same]
+            found[open_] += 8
+            open_ = open_[found[open_] < most[open_]]
+        # The lowest bit set lies in the first byte that differs.
+        some = np.flatnonzero(differs)
+        low = differs[some] & (~differs[some] + np.uint64(1))
+        found[some] += (np.frexp(low.astype(np.float64))[1] - 1) // 8
+        return np.minimum(found, most)
 
 
 def _refine(ranks: np.ndarray, members: np.ndarray, order: np.ndarray, keys: np.ndarray) -> None:
@@ -155,7 +159,7 @@ def seed_order(s: Strings) -> np.ndarray:
     low, open_ = 0, inner
     while len(open_):
         left = np.clip(length[open_] - low, 0, 8)
-        word = s.words[places[open_] + np.minimum(low, length[open_])].astype(np.uint64)
+        word = s.words[places[open_] + np.minimum(low, length[open_])].byteswap()
         word |= np.where(left < 8, np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * left % 64).astype(np.uint64), np.uint64(0))
         order = np.lexsort((word, ranks[open_])) if low else np.argsort(word)
         _refine(ranks, open_, order, word)

@@ -9,13 +9,13 @@ occurs elsewhere is removed.
    aggregates; documents learn which of their anchors recur, and nothing else of them
    goes on.
 2. Stretches of neighbouring windows with the same recurring anchor are cut out.  Equal
-   stretches become one row with a count, first in each task.
+   stretches of a task become one row with a count.
 3. Stretches are dealt to shards by their anchor.  A shard sorts all suffixes of its
    stretches by induced sorting (``induced_sort``), which also yields the common
    prefixes; neighbours with a common prefix of ``depth`` bytes are equal windows.
 4. Runs of recurring windows go back to the documents, which drop the bytes.
 
-An anchor with more than ``HOT`` different stretches would crowd a shard.  Its stretches
+An anchor with more than ``HOT`` rows of stretches would crowd a shard.  Its stretches
 are taken apart into single windows, dealt by their own hashes; those whose hash occurs
 once cannot recur and end there, the others meet in the shards like stretches do.
 
@@ -42,15 +42,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..session import to_scratch
-from .common import arrow, empty_as_bytes, slices
+from .common import arrow, empty_as_bytes, slices, small_batches
 from .induced_sort import repeated
 
 DEPTH = 200
 GRAM = 40
-HOT = 1_000  # different stretches of an anchor that one shard takes
-SHARD_BYTES = 4 << 20  # aim for the stretches of a shard
-QUEUE_TUPLES = 1 << 22  # that a shard's queue holds in memory
-GROUP = 1 << 20  # bytes that are hashed together
+HOT = 2_000  # rows of an anchor's stretches that one shard takes
+SHARD_BYTES = 2 << 20  # aim for the stretches of a shard
+QUEUE_TUPLES = 1 << 20  # that a shard's queue holds in memory
+GROUP = 1 << 18  # bytes that are hashed together
+COMBINED_BYTES = 4 << 20  # of different stretches that a task counts before it passes them on
+BATCH_ROWS = 500  # that go to a Python worker at once
 SEEN_TEXTS = 1_000_000  # hashes of texts that a task remembers
 
 PLACES = np.uint64((1 << 22) - 1)  # low bits that hold a place instead of a hash
@@ -135,38 +137,48 @@ def text_hash(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")
 
 
+def _two_of_each(batch, seen: Counter) -> np.ndarray:
+    """Which rows are the first or second copy of their text (``h1, h2``) in this task."""
+    wanted = np.zeros(batch.num_rows, bool)
+    for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        if seen[key] < 2:
+            seen[key] += 1
+            wanted[i] = True
+    if len(seen) > SEEN_TEXTS:
+        seen.clear()
+    return np.flatnonzero(wanted)
+
+
+def _hashed_texts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
+    text = F.col(text_col)
+    return docs.where(F.octet_length(text) >= depth).select(*text_hash(text), text.cast("binary").alias("text"))
+
+
 def _texts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     """``(h1, h2, text)`` of texts that hold a window; at most two copies of each from a task."""
-    text = F.col(text_col)
-    narrow = docs.where(F.octet_length(text) >= depth).select(*text_hash(text), text.cast("binary").alias("text"))
+    narrow = _hashed_texts(docs, text_col, depth)
 
     def task(batches):
         seen: Counter = Counter()
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wanted = np.zeros(len(a), bool)
-            for i, key in enumerate(zip(a.tolist(), b.tolist())):
-                if seen[key] < 2:
-                    seen[key] += 1
-                    wanted[i] = True
-            if len(seen) > SEEN_TEXTS:
-                seen.clear()
-            keep = np.flatnonzero(wanted)
-            yield {"h1": a[keep], "h2": b[keep], "text": batch.column(2).take(keep)}
+        for batch in slices(batches):
+            keep = _two_of_each(batch, seen)
+            yield {name: batch.column(i).take(keep) for i, name in enumerate(("h1", "h2", "text"))}
 
     return arrow(narrow, task, narrow.schema)
 
 
-def _anchor_rows(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """``(anchor, h1)`` for each run of windows."""
+def _anchor_rows(docs: DataFrame, text_col: str, depth: int, gram: int) -> DataFrame:
+    """``(anchor, h1)`` for each run of windows, of the same copies."""
 
     def task(batches):
+        seen: Counter = Counter()
         for batch in slices(batches):
-            h1 = batch.column(0).to_numpy()
-            for number, _, _, key in text_anchors(empty_as_bytes(batch.column(1)), depth, gram):
+            own = batch.take(_two_of_each(batch, seen))
+            h1 = own.column(0).to_numpy()
+            for number, _, _, key in text_anchors(empty_as_bytes(own.column(2)), depth, gram):
                 yield {"anchor": key, "h1": h1[number]}
 
-    return arrow(texts.select("h1", "text"), task, StructType.fromDDL("anchor bigint, h1 bigint"))
+    return arrow(_hashed_texts(docs, text_col, depth), task, StructType.fromDDL("anchor bigint, h1 bigint"))
 
 
 PARTS = "kind tinyint, h1 bigint, h2 bigint, low bigint, anchor bigint, c1 bigint, c2 bigint, n bigint, body binary"
@@ -179,69 +191,91 @@ def _stretches(texts: DataFrame, shared: DataFrame, depth: int, gram: int) -> Da
     names = StructType.fromDDL(PARTS).names
 
     def task(batches):
-        for batch in slices(batches):
-            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = empty_as_bytes(batch.column(2))
-            known = batch.column(3)
-            offsets = known.offsets.to_numpy()
-            values = known.values.to_numpy()
-            sets = [set(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
-            counts: Counter = Counter()
-            out = {name: [] for name in names}
-
-            def add(**row):
-                for name in names:
-                    out[name].append(row.get(name))
-
-            used = {}
+        counts, held = Counter(), 0
+
+        def rows():
+            return {name: [] for name in names}
+
+        def add(out, **row):
+            for name in names:
+                out[name].append(row.get(name))
+
+        def counted():
+            out = rows()
+            for (k, body), n in counts.items():
+                add(out, kind=STRETCH, anchor=k, n=n, body=body)
+            return out
+
+        for batch in slices(batches, 100):
+            h1, h2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, known, out, used = empty_as_bytes(batch.column(2)), batch.column(3).to_pylist(), rows(), {}
+            sets = [set(x) for x in known]
             for number, first, last, key in text_anchors(texts, depth, gram):
                 for i, low, high, k in zip(number.tolist(), first.tolist(), last.tolist(), key.tolist()):
                     if k in sets[i]:
                         body = texts[i][low : high + depth]
+                        held += 0 if (k, body) in counts else len(body)
                         counts[k, body] += 1
-                        c1, c2 = _hash(body)
-                        me = (h1[i], h2[i])
                         # The spots of one copy of a text say all.
-                        if used.setdefault(me, i) == i:
-                            add(kind=SPOT, h1=me[0], h2=me[1], low=low, c1=c1, c2=c2)
-            for (k, body), n in counts.items():
-                add(kind=STRETCH, anchor=k, n=n, body=body)
+                        if used.setdefault((h1[i], h2[i]), i) == i:
+                            c1, c2 = _hash(body)
+                            add(out, kind=SPOT, h1=h1[i], h2=h2[i], low=low, c1=c1, c2=c2)
             for (a, b), i in used.items():
-                add(kind=TEXT, h1=a, h2=b, body=texts[i])
+                add(out, kind=TEXT, h1=a, h2=b, body=texts[i])
             yield out
+            if held > COMBINED_BYTES:
+                yield counted()
+                counts.clear()
+                held = 0
+        yield counted()
 
     return to_scratch(arrow(found, task, StructType.fromDDL(PARTS)), "stretches")
 
 
 def _windows(items: DataFrame, depth: int) -> DataFrame:
-    """Each window of the stretches on its own."""
+    """Each different window of a task's stretches once, with its count and the stretches it stands in."""
 
     def task(batches):
+        found: dict[bytes, list] = {}
+        held = 0
+
+        def rows():
+            out = {name: [] for name in ("w1", "w2", "n", "body", "owners")}
+            for window, (n, owners) in found.items():
+                for name, value in zip(out, (*_hash(window), n, window, owners)):
+                    out[name].append(value)
+            return out
+
         for batch in slices(batches, 100):
-            out = {name: [] for name in ("c1", "c2", "at", "w1", "w2", "n", "body")}
             for body, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c1, c2 = _hash(body)
                 for at in range(len(body) - depth + 1):
-                    window = body[at : at + depth]
-                    for name, value in zip(out, (c1, c2, at, *_hash(window), n, window)):
-                        out[name].append(value)
-            yield out
+                    own = found.setdefault(body[at : at + depth], [0, []])
+                    held += 32 if own[1] else depth
+                    own[0] += n
+                    own[1].append({"c1": c1, "c2": c2, "at": at})
+            if held > COMBINED_BYTES:
+                yield rows()
+                found.clear()
+                held = 0
+        yield rows()
 
-    schema = StructType.fromDDL("c1 bigint, c2 bigint, at bigint, w1 bigint, w2 bigint, n bigint, body binary")
-    return arrow(items.select("body", "n"), task, schema)
+    schema = "w1 bigint, w2 bigint, n bigint, body binary, owners array<struct<c1:bigint,c2:bigint,at:bigint>>"
+    return arrow(items.select("body", "n"), task, StructType.fromDDL(schema))
 
 
 def _sorted_shards(items: DataFrame, depth: int, shards: int, tuples: int) -> DataFrame:
     """``(c1, c2, first, last)``: runs of recurring windows in the stretches ``(anchor, body, n)``."""
 
     def task(batches):
-        bodies, counts = [], []
-        for batch in batches:
-            bodies += batch.column(0).to_pylist()
-            counts += batch.column(1).to_pylist()
-        if not bodies:
+        total: Counter = Counter()
+        for batch in slices(batches):
+            for body, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[body] += n
+        if not total:
             return
-        owner, first, last = repeated(bodies, np.minimum(np.array(counts, np.int64), 2), depth, tuples)
+        bodies = list(total)
+        owner, first, last = repeated(bodies, np.minimum(np.array(list(total.values()), np.int64), 2), depth, tuples)
         hashes = {i: _hash(bodies[i]) for i in np.unique(owner).tolist()}
         own = [hashes[i] for i in owner.tolist()]
         yield {"c1": [a for a, _ in own], "c2": [b for _, b in own], "first": first, "last": last}
@@ -251,26 +285,36 @@ def _sorted_shards(items: DataFrame, depth: int, shards: int, tuples: int) -> Da
 
 
 def recurring(parts: DataFrame, depth: int, hot: int, shard_bytes: int, tuples: int) -> DataFrame:
-    """``(c1, c2, first, last)``: runs of windows of stretches that occur twice or more."""
+    """``(c1, c2, runs)``: for each stretch with windows that occur twice or more, where runs of them begin and end."""
     spark = parts.sparkSession
-    stretches = parts.where(F.col("kind") == STRETCH).groupBy("anchor", "body").agg(F.sum("n").alias("n"))
-    stretches = to_scratch(stretches, "distinct-stretches")
+    stretches = parts.where(F.col("kind") == STRETCH).select("anchor", "body", "n")
     crowded = stretches.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
     crowded = to_scratch(crowded, "hot-anchors")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = stretches.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(least, size // shard_bytes + 1)
+
+    def shards(rows: DataFrame) -> int:
+        return (rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // shard_bytes + 1
+
+    def by_stretch(rows: DataFrame) -> DataFrame:
+        # At most one run for each window of a stretch.
+        return rows.groupBy("c1", "c2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+
     if crowded.isEmpty():
-        return _sorted_shards(stretches, depth, shards, tuples)
-    single = _windows(stretches.join(crowded, "anchor", "left_semi"), depth)
+        return by_stretch(_sorted_shards(stretches, depth, max(least, shards(stretches)), tuples))
+    packed_hot = to_scratch(stretches.join(crowded, "anchor", "left_semi"), "hot-stretches")
+    dealt = packed_hot.repartition(shards(packed_hot), F.xxhash64("body"))
+    single = to_scratch(_windows(dealt, depth), "windows")
     again = single.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("w1", "w2")
-    single = to_scratch(single.join(again, ["w1", "w2"], "left_semi"), "hot-windows")
-    rows = single.groupBy(F.col("w1").alias("anchor"), "body").agg(F.sum("n").alias("n"))
-    cold = stretches.join(crowded, "anchor", "left_anti")
-    found = to_scratch(_sorted_shards(cold.unionByName(rows), depth, shards, tuples), "recurring")
+    # Windows that a task met twice recur for certain, by their bytes, and need no join.
+    known = single.where(F.col("n") > 1)
+    alone = to_scratch(single.where(F.col("n") == 1).join(again, ["w1", "w2"], "left_semi"), "hot-windows")
+    rows = known.unionByName(alone).groupBy(F.col("w1").alias("anchor"), "body").agg(F.sum("n").alias("n"))
+    whole = stretches.join(crowded, "anchor", "left_anti").unionByName(rows)
+    found = to_scratch(_sorted_shards(whole, depth, max(least, shards(stretches)), tuples), "recurring")
     of_windows = found.select(F.col("c1").alias("w1"), F.col("c2").alias("w2"))
-    runs = single.join(of_windows, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("at").alias("first"), F.col("at").alias("last"))
-    return found.unionByName(runs)
+    owners = alone.join(of_windows, ["w1", "w2"], "left_semi").unionByName(known).select(F.explode("owners").alias("o"))
+    runs = owners.select("o.c1", "o.c2", F.col("o.at").alias("first"), F.col("o.at").alias("last"))
+    return by_stretch(found.unionByName(runs))
 
 
 def kept_bytes(text: bytes, runs: list[tuple[int, int]], depth: int) -> tuple[bytes, int]:
@@ -286,15 +330,21 @@ def kept_bytes(text: bytes, runs: list[tuple[int, int]], depth: int) -> tuple[by
 
 def _cut(docs: DataFrame, text_col: str, depth: int, gram: int, hot: int, shard_bytes: int, tuples: int, carry: bool) -> DataFrame:
     """``(h1, h2, n_removed, n_spans, sha)`` of each text that loses bytes, and what is ``kept`` if asked for."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        # Copies of a text that came from different tasks give equal rows.
+        found = _cut_rows(docs, text_col, depth, gram, hot, shard_bytes, tuples, carry)
+        return to_scratch(found.dropDuplicates(["h1", "h2"]), "cut-texts")
+
+
+def _cut_rows(docs: DataFrame, text_col: str, depth: int, gram: int, hot: int, shard_bytes: int, tuples: int, carry: bool) -> DataFrame:
     texts = _texts(docs, text_col, depth)
-    rows = _anchor_rows(texts, depth, gram)
+    rows = _anchor_rows(docs, text_col, depth, gram)
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("anchor")
     shared = rows.join(often, "anchor", "left_semi").groupBy("h1").agg(F.collect_set("anchor").alias("anchors"))
     parts = _stretches(texts, shared, depth, gram)
     runs = recurring(parts, depth, hot, shard_bytes, tuples)
     spots = parts.where(F.col("kind") == SPOT).select("h1", "h2", "low", "c1", "c2")
-    run = F.struct((F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
-    cuts = spots.join(runs, ["c1", "c2"]).groupBy("h1", "h2").agg(F.collect_set(run).alias("runs"))
+    cuts = spots.join(runs, ["c1", "c2"]).groupBy("h1", "h2").agg(F.collect_set(F.struct("low", "runs")).alias("runs"))
     bodies = parts.where(F.col("kind") == TEXT).select("h1", "h2", "body")
     schema = StructType.fromDDL("h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, sha string" + (", kept binary" if carry else ""))
 
@@ -302,15 +352,14 @@ def _cut(docs: DataFrame, text_col: str, depth: int, gram: int, hot: int, shard_
         for batch in slices(batches):
             out = {f: [] for f in schema.names}
             for h1, h2, body, own in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                kept, pieces = kept_bytes(body, [(r["first"], r["last"]) for r in own], depth)
+                spots = [(s["low"] + r["first"], s["low"] + r["last"]) for s in own for r in s["runs"]]
+                kept, pieces = kept_bytes(body, spots, depth)
                 values = (h1, h2, len(body) - len(kept), pieces, hashlib.sha256(kept).hexdigest(), kept)
                 for name, value in zip(out, values):
                     out[name].append(value)
             yield out
 
-    cut = arrow(bodies.join(cuts, ["h1", "h2"]).select("h1", "h2", "body", "runs"), task, schema)
-    # Copies of a text that came from different tasks give equal rows.
-    return cut.dropDuplicates(["h1", "h2"])
+    return arrow(bodies.join(cuts, ["h1", "h2"]).select("h1", "h2", "body", "runs"), task, schema)
 
 
 def repeats_digest(
