@@ -1,7 +1,11 @@
 """A serving database filled from a warehouse, twice, and searched."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tapeloom.operators import keyword
+from tapeloom.operators.chunks import chunk_to_text
 from tapeloom.plans import chunk_search, corpus, jobs, update, video_search
 from tapeloom.schemas import SERVING_TABLES, VIDEO_METADATA
 
@@ -51,3 +55,20 @@ def test_update_loads_deltas_once(spark, tmp_path):
     assert [r.id for r in indexed] == [r.id for r in exact]
     assert video_search.hybrid_search(tables, "de la", vector=vector).count() > 0
     spark.sql("DROP DATABASE served CASCADE")
+
+
+def test_update_keeps_words_and_texts(spark, tmp_path):
+    """Stored words and chunk texts follow two updates and equal the plain ones."""
+    vectors, source = corpus.embeddings(spark, SF).select("id", "embedding"), warehouse(spark)
+    half = {**source, "transcriptions": source["transcriptions"].where("url < 'https://www.youtube.com/watch?v=2'")}
+    settings = update.UpdateSettings(1000, words_folder=str(tmp_path / "words"), text_folder=str(tmp_path / "texts"))
+    for warehouse_now in (half, source):
+        tables = update.update_serving(spark, warehouse_now, vectors, "stored", settings)
+    want = chunk_to_text(tables.embeddings, tables.transcripts)
+    columns = ["id", "text", "segment_start", "segment_end"]
+    assert sorted(map(tuple, tables.chunk_text.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    known = keyword.vocabulary(keyword.postings(tables.transcripts))
+    plain = replace(tables, postings=None, vocabulary=known)
+    found, scanned = (chunk_search.keyword_segments(t, "de la", 20).collect() for t in (tables, plain))
+    assert found and found == scanned
+    spark.sql("DROP DATABASE stored CASCADE")
