@@ -125,8 +125,13 @@ def postings(segments: DataFrame, keys: Sequence[str] = ("url", "segment_id"), t
 
 
 def vocabulary(found: DataFrame) -> DataFrame:
-    """Distinct words of a postings table with their English stems."""
-    return found.select("term").distinct().withColumn("stem", stem(F.col("term")))
+    """Distinct words of a postings table with their English stems.
+
+    The stem reads the word's count too.  A filter on stems of the word alone would be pushed
+    below the aggregate, and every word of the running text would be stemmed.
+    """
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select("term", stem(F.when(F.col("_n") > 0, F.col("term"))).alias("stem"))
 
 
 def stem_variants(known: DataFrame, query: str) -> dict[str, list[str]]:
@@ -140,7 +145,9 @@ def stem_variants(known: DataFrame, query: str) -> dict[str, list[str]]:
     stems = {w: english_stem(w) for w in asked}
     if not asked:
         return {}
-    rows = known.where(F.col("stem").isin(*set(stems.values()))).select("term", "stem").distinct().collect()
+    # A stem begins with its word's first letter, so most words need not be counted or stemmed.
+    likely = known.where(F.substring("term", 1, 1).isin(*{s[0] for s in stems.values()}))
+    rows = likely.where(F.col("stem").isin(*set(stems.values()))).select("term", "stem").distinct().collect()
     return {w: sorted(r["term"] for r in rows if r["stem"] == s) for w, s in stems.items()}
 
 

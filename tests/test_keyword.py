@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions import text
+from tapeloom.functions import stem, text
 from tapeloom.operators import keyword
 
 VOCABULARY = ["king", "pop", "of", "the", "rock", "n", "roll", "café", "7"]
@@ -122,3 +122,18 @@ def test_stems_widen_the_query(spark):
     assert phrase == {}
     adjacent = keyword.stem_variants(known, "night song")
     assert found(keyword.phrase_rank(F.col("text"), "night song", adjacent)) == {3: 0.2}
+
+
+def test_only_distinct_words_are_stemmed(spark, plan_of):
+    """A filter on stems stays above the aggregate, one on first letters goes below it."""
+    known = keyword.vocabulary(keyword.postings(spark.range(1).select("id", F.lit("song songs sang of night").alias("text")), ["id"]))
+    plan = plan_of(known.where(F.substring("term", 1, 1) == "s").where(F.col("stem") == "song"))
+    assert plan.count("ArrowEvalPython") >= 1
+    assert plan.rindex("ArrowEvalPython") < plan.index("HashAggregate")
+    assert plan.index("substring") > plan.rindex("HashAggregate")
+    assert keyword.stem_variants(known, "songs") == {"songs": ["song", "songs"]}
+
+
+def test_stems_keep_the_first_letter():
+    words = ["skis", "skies", "dying", "ties", "ied", "eed", "ying", "yes", "ugly", "ational", "oed", "y", "eeing", "al", "ly"]
+    assert all(stem.english_stem(w)[0] == w[0] for w in words)
