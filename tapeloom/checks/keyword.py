@@ -90,7 +90,8 @@ def _postings(spark, sf_dir):
 
 
 def postings_counts(spark, sf_dir):
-    return _postings(spark, sf_dir).groupBy("doc_id").agg(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return keyword.postings(keyword.gathered(docs, ["doc_id"]), ["doc_id"]).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"), F.sum(F.col("pos").cast("bigint")).alias("places")
     )
 

@@ -124,6 +124,20 @@ def postings(segments: DataFrame, keys: Sequence[str] = ("url", "segment_id"), t
     return listed.where(~F.col("term").isin(*INDEX_STOP_WORDS)).select("term", *keys, "pos")
 
 
+# Parts of the texts for each part that the scan has.
+GATHERED_SPLITS = 8
+
+
+def gathered(segments: DataFrame, keys: Sequence[str] = ("url", "segment_id")) -> DataFrame:
+    """The segments by hash of their keys, for aggregates over the postings of each.
+
+    Texts are shuffled once in place of their words.  The number of parts grows with the input,
+    so the distinct words of a part's segments fit in a task's memory.
+    """
+    least = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.repartition(max(least, GATHERED_SPLITS * segments.rdd.getNumPartitions()), *keys)
+
+
 def vocabulary(found: DataFrame) -> DataFrame:
     """Distinct words of a postings table with their English stems.
 

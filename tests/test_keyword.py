@@ -137,3 +137,16 @@ def test_only_distinct_words_are_stemmed(spark, plan_of):
 def test_stems_keep_the_first_letter():
     words = ["skis", "skies", "dying", "ties", "ied", "eed", "ying", "yes", "ugly", "ational", "oed", "y", "eeing", "al", "ly"]
     assert all(stem.english_stem(w)[0] == w[0] for w in words)
+
+
+def test_counts_over_gathered_postings_shuffle_texts_only(spark, plan_of):
+    rows = [(i % 7, "king pop king" if i % 2 else None) for i in range(40)] + [(None, "rock the pop"), (None, "pop"), (8, "of the")]
+    segments = spark.createDataFrame(rows, "id bigint, text string")
+
+    def counts(found):
+        return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"), F.sum("pos").alias("places"))
+
+    got = counts(keyword.postings(keyword.gathered(segments, ["id"]), ["id"]))
+    assert plan_of(got).count("Exchange") == 1
+    key = lambda r: (r["id"] is None, r["id"] or 0)
+    assert sorted(got.collect(), key=key) == sorted(counts(keyword.postings(segments, ["id"])).collect(), key=key)
