@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.let import let
 from ..functions.stem import english_stem
 from ..functions.text import INDEX_STOP_WORDS, phrase_words, query_words, words
 from ..session import PIN_ROWS, local, pin, to_scratch
@@ -68,6 +69,19 @@ class WordIndex:
         return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.blocks)).cast("int")
 
 
+def _counted(listed: str) -> Column:
+    """``(term, top)`` for each word of a sorted list: the word, and how often it stands there.
+
+    Runs of equal words end where the next word differs, so a list is walked once.
+    """
+    own = F.col(listed)
+    last = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.coalesce(F.get(own, i) != F.get(own, i - 1), F.lit(True)))
+    ends = F.when(F.size(own) > 0, last)
+    return let(ends, lambda at: F.transform(
+        at, lambda end, n: F.struct(F.get(own, end - 1).alias("term"), (end - F.coalesce(F.get(at, n - 1), F.lit(0))).alias("top"))
+    ))
+
+
 def add(index: WordIndex, segments: DataFrame, text: str = "text") -> WordIndex:
     """Index the words of new segments as a part of their own.
 
@@ -79,12 +93,8 @@ def add(index: WordIndex, segments: DataFrame, text: str = "text") -> WordIndex:
     segments = to_scratch(segments.select(*index.keys, text), "new-segments")
     keys, part = list(index.keys), f"p{uuid.uuid4().hex}"
     found = keyword.postings(segments, keys, text)
-    kept = F.filter(words(F.col(text)), lambda w: ~w.isin(*INDEX_STOP_WORDS))
-    counted = F.transform(
-        F.array_distinct("_words"),
-        lambda w: F.struct(w.alias("term"), F.size(F.filter("_words", lambda x: x == w)).alias("top")),
-    )
-    each = segments.select(index.block().alias("block"), kept.alias("_words")).select("block", F.explode(counted).alias("w"))
+    kept = F.array_sort(F.filter(words(F.col(text)), lambda w: ~w.isin(*INDEX_STOP_WORDS)))
+    each = segments.select(index.block().alias("block"), kept.alias("_words")).select("block", F.explode(_counted("_words")).alias("w"))
     maxima = each.select("block", "w.*").groupBy("term", "block").agg(F.max("top").alias("top"))
     if index.stemmed:
         # One row per distinct word; common words are hot keys of the join, which adaptive execution splits.

@@ -1,6 +1,7 @@
 """The stored word index against scans of the text."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,17 @@ def test_bounds_hold(spark, segments, index):
         assert sum(word_index.hits(spark, index, query, phrase, [k]).count() for k in most) == total
 
 
+def test_words_of_a_long_segment_are_counted_in_one_walk(spark):
+    """A test of each distinct word against the whole list would take minutes here."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(100_000)), "pop", "b a b", "", None]
+    listed = spark.createDataFrame(list(enumerate(texts)), "no int, text string")
+    listed = listed.select("no", F.array_sort(F.filter(F.split("text", " "), lambda w: w != "")).alias("own"))
+    got = listed.select("no", F.explode(word_index._counted("own")).alias("w")).select("no", "w.*").collect()
+    want = {(no, w): n for no, t in enumerate(texts) for w, n in Counter((t or "").split()).items()}
+    assert len(got) == len(want) and {(r.no, r.term): r.top for r in got} == want
+
+
 def test_unfinished_and_repeated_parts(spark, segments):
     path = scratch_dir(spark, "words")
     first = word_index.add(word_index.WordIndex(path, 4, 8), segments.where("url < 'u2'"))
