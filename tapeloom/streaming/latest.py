@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -33,34 +34,64 @@ def rocks_db(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+# A missing time as a number of microseconds.
+_NO_TIME = np.iinfo(np.int64).min
+
+
+def _plain(value):
+    """A value of a frame as Python's own; null becomes None."""
+    if pd.isna(value):
+        return None
+    return value.item() if isinstance(value, np.generic) else value
+
+
 class _Newest(StatefulProcessor):
     def __init__(self, columns: list[str], time: str, tie: str, schema: T.StructType, forget_ms: int):
         self.columns, self.time, self.tie, self.schema, self.forget_ms = columns, time, tie, schema, forget_ms
+        self.time_at, self.tie_at = columns.index(time), columns.index(tie)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("newest", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = None
+        best = row = None
         for part in rows:
-            part = part[part[self.time].notna()]
-            if len(part):
-                top = part.sort_values([self.time, self.tie], na_position="first").iloc[[-1]][self.columns]
-                best = top if best is None else pd.concat([best, top]).sort_values([self.time, self.tie], na_position="first").iloc[[-1]]
+            place = self._newest_place(part)
+            if place is not None:
+                found = tuple(_plain(part[c].iat[place]) for c in self.columns)
+                if row is None or self._rank(found) >= self._rank(row):
+                    best, row = part.iloc[place : place + 1], found
         if best is None:
             return
-        at, tie = self.columns.index(self.time), self.columns.index(self.tie)
-        row = tuple(None if pd.isna(x) else x for x in best.iloc[0])
-        before = self.held.get() if self.held.exists() else None
-        rank = lambda r: (pd.Timestamp(r[at]), r[tie] is not None, r[tie] if r[tie] is not None else 0)
-        if before is not None and rank(before) >= rank(row):
-            return
+        before = self.held.get()
+        if before is not None:
+            if self._rank(before) >= self._rank(row):
+                return
+            # A held row has one timer, and its time follows from the row.
+            self.handle.deleteTimer(self._expiry(before))
         self.held.update(tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(pd.Timestamp(row[at]).timestamp() * 1000) + self.forget_ms)
-        yield best
+        self.handle.registerTimer(self._expiry(row))
+        yield best if list(best.columns) == self.columns else best[self.columns]
+
+    def _newest_place(self, part: pd.DataFrame) -> int | None:
+        """Where the newest row stands; of equal times the larger tie, a null tie first, then the later row."""
+        times = part[self.time].to_numpy().astype("datetime64[us]").astype(np.int64)
+        if not len(times) or times.max() == _NO_TIME:
+            return None
+        last = np.flatnonzero(times == times.max())
+        if len(last) > 1:
+            ties = part[self.tie].iloc[last]
+            if ties.notna().any():
+                last = last[(ties == ties.max()).to_numpy(bool, na_value=False)]
+        return int(last[-1])
+
+    def _rank(self, row: tuple) -> tuple:
+        tie = row[self.tie_at]
+        return pd.Timestamp(row[self.time_at]), tie is not None, 0 if tie is None else tie
+
+    def _expiry(self, row: tuple) -> int:
+        return int(pd.Timestamp(row[self.time_at]).timestamp() * 1000) + self.forget_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()

@@ -86,3 +86,33 @@ def test_a_timer_forgets_a_key():
     assert feed(3, 8) == [3] and handle.timers == [millis(8)]
     assert list(worker.handleExpiredTimer(("a",), None, None)) == [] and not handle.exists()
     assert feed(4, 1) == [4]
+
+
+def test_a_key_costs_few_calls_of_its_state():
+    """Every call is a message to the engine; timers are not listed to find the one that goes."""
+
+    class Counted(_Handle):
+        calls = 0
+
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update", "listTimers", "deleteTimer", "registerTimer"):
+                Counted.calls += 1
+            return super().__getattribute__(name)
+
+    handle = Counted()
+    worker = latest._Newest(["key", "no", "ts"], "ts", "no", None, 60_000)
+    worker.init(handle)
+    at = lambda *minutes: [pd.NaT if m is None else pd.Timestamp(START + timedelta(minutes=m)) for m in minutes]
+
+    def feed(*parts):
+        Counted.calls = 0
+        frames = [pd.DataFrame({"note": ["x"] * len(n), "ts": t, "no": n, "key": ["a"] * len(n)}) for n, t in parts]
+        found = list(worker.handleInputRows(("a",), iter(frames), None))
+        return [(int(r.no.iloc[0]), list(r.columns)) for r in found], Counted.calls
+
+    columns = ["key", "no", "ts"]
+    assert feed(([1, 7, 2], at(5, 5, None)), ([3], at(4))) == ([(7, columns)], 3)
+    assert feed(([9], at(2))) == ([], 1)
+    assert feed(([8, 9], at(None, None))) == ([], 0)
+    assert feed(([4, 5], at(9, 9))) == ([(5, columns)], 4)
+    assert len(handle.timers) == 1
