@@ -1,6 +1,6 @@
 """The newest row of each key from a stream, whatever order rows arrive in.
 
-State holds one row per key: the newest so far by time, then by the larger tie.  An older
+State holds time and tie of one row per key: the newest so far by time, then by the larger tie.  An older
 row that arrives later changes nothing.  A key that stays quiet is forgotten once the
 watermark has passed its newest time by ``forget_after``; a timer does that, so state is
 bounded by the keys of that span.  A row that comes for a forgotten key counts as new.
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,6 +35,7 @@ def rocks_db(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 # A missing time as a number of microseconds.
 _NO_TIME = np.iinfo(np.int64).min
 
@@ -62,17 +64,20 @@ class _Newest(StatefulProcessor):
                 found = tuple(_plain(part[c].iat[place]) for c in self.columns)
                 if row is None or self._rank(found) >= self._rank(row):
                     best, row = part.iloc[place : place + 1], found
-        if best is None:
-            return
+        if best is not None and self._keep(row):
+            yield best if list(best.columns) == self.columns else best[self.columns]
+
+    def _keep(self, row: tuple) -> bool:
+        """Hold a row unless the held one is as new."""
         before = self.held.get()
         if before is not None:
             if self._rank(before) >= self._rank(row):
-                return
+                return False
             # A held row has one timer, and its time follows from the row.
             self.handle.deleteTimer(self._expiry(before))
         self.held.update(tuple(x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row))
         self.handle.registerTimer(self._expiry(row))
-        yield best if list(best.columns) == self.columns else best[self.columns]
+        return True
 
     def _newest_place(self, part: pd.DataFrame) -> int | None:
         """Where the newest row stands; of equal times the larger tie, a null tie first, then the later row."""
@@ -101,14 +106,42 @@ class _Newest(StatefulProcessor):
         pass
 
 
+class _NewestRow(_Newest):
+    """The same on plain rows, which spares the frames of each key.
+
+    Rows bring times with their zone, so the state holds them as microseconds.
+    """
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = rank = None
+        for row in rows:
+            time, tie = row[self.time], row[self.tie]
+            if time is not None:
+                here = (time, tie is not None, 0 if tie is None else tie)
+                if best is None or here >= rank:
+                    best, rank = row, here
+        if best is None:
+            return
+        micros = (rank[0] - (_EPOCH if rank[0].tzinfo else _EPOCH.replace(tzinfo=None))) // timedelta(microseconds=1)
+        if self._keep((micros, best[self.tie])):
+            yield Row(*self.columns)(*[best[c] for c in self.columns])
+
+    def _rank(self, held: tuple) -> tuple:
+        return held[0], held[1] is not None, 0 if held[1] is None else held[1]
+
+    def _expiry(self, held: tuple) -> int:
+        return held[0] // 1000 + self.forget_ms
+
+
 def newest_rows(stream: DataFrame, key: str, time: str, tie: str, delay: str, forget_after_ms: int) -> DataFrame:
     """Changes of the newest row of each key, with the columns of ``stream``; ``time`` is a timestamp.
 
     ``delay`` is how late rows may be for the watermark; later ones are dropped by the stream.
     """
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
-    worker = _Newest(stream.columns, time, tie, schema, forget_after_ms)
-    return stream.withWatermark(time, delay).groupBy(key).transformWithStateInPandas(
+    held = T.StructType([T.StructField("micros", T.LongType()), T.StructField("tie", schema[tie].dataType)])
+    worker = _NewestRow(stream.columns, time, tie, held, forget_after_ms)
+    return stream.withWatermark(time, delay).groupBy(key).transformWithState(
         statefulProcessor=worker, outputStructType=schema, outputMode="Update", timeMode="EventTime"
     )
 

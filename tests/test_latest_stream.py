@@ -1,8 +1,9 @@
 """The newest row of each key from a stream: late, out-of-order and equal rows, and expiry."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
+from pyspark.sql import Row
 
 from tapeloom.streaming import latest
 
@@ -116,3 +117,22 @@ def test_a_key_costs_few_calls_of_its_state():
     assert feed(([8, 9], at(None, None))) == ([], 0)
     assert feed(([4, 5], at(9, 9))) == ([(5, columns)], 4)
     assert len(handle.timers) == 1
+
+
+def test_plain_rows_hold_microseconds():
+    handle = _Handle()
+    worker = latest._NewestRow(["key", "no", "ts"], "ts", "no", None, 60_000)
+    worker.init(handle)
+    tokyo = timezone(timedelta(hours=9))
+
+    def feed(*rows):
+        made = [Row(ts=t, key="a", no=n) for n, t in rows]
+        return [tuple(r) for r in worker.handleInputRows(("a",), iter(made), None)]
+
+    first = datetime(1970, 1, 1, 9, 0, 1, 5, tzinfo=tokyo)
+    assert feed((1, None)) == [] and handle.row is None
+    assert feed((2, first), (None, first)) == [("a", 2, first)]
+    assert handle.row == (1_000_005, 2) and handle.timers == [61_000]
+    assert feed((1, first)) == [] and feed((9, first - timedelta(seconds=1))) == []
+    later = first + timedelta(seconds=2)
+    assert feed((None, later)) == [("a", None, later)] and handle.row == (3_000_005, None) and handle.timers == [63_000]
