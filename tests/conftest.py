@@ -27,6 +27,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def own_cache(spark):
+    """Tables that a module caches do not stand in the plans of the next one."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def plan_of():
     def text(df):
